@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text a worker holds in expanded (numpy) form at once; a longer text is taken alone.
 CHUNK_BYTES = 4 << 20
@@ -29,7 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    base = base.rstrip("/")
+    return "file://" + base[5:] if base.startswith("file:/") and not base.startswith("file://") else base
+
+
+def small(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows; beyond that Spark joins it
+    by shuffling. For narrow tables: at a hundred bytes a row the bound is a hundred MB."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("shuffle_hash")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
