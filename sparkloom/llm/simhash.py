@@ -11,6 +11,10 @@
    coordinate, and the survivors are verified by their differing bits. A bucket of more
    than ``BLOCK`` fingerprints is split into blocks whose pairs are separate groups.
    Each group returns a spanning forest of its links, never all pairs.
+   Wider fingerprints (``bits`` 128, 256, ...) for lower similarities meet in ``tables`` tables
+   keyed by ``KEY_BITS`` sampled bits instead. These find a pair whose share of differing bits
+   is p with probability 1 - (1 - (1 - p) ** KEY_BITS) ** tables: 0.97 at p = 0.15 for 64
+   tables; what they find is linked by the same exact test.
 5. Components: smallest-label propagation with pointer jumping, each round written to the
    shared folder, until nothing changes.
 
@@ -30,12 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, cut, pieces, read_table, release, runs, utf8
+from .common import LOWER, SPACE, cut, mix, pieces, read_table, release, runs, utf8
 
 #: Rows of one side of a group's comparison.
 BLOCK = 1024
 #: Reference fingerprints of the pivot distance table.
 PIVOTS = 32
+#: Sampled bits of a table's key, for wide fingerprints.
+KEY_BITS = 18
 #: Shingles whose bits are expanded at once.
 _SLICE = 1 << 19
 
@@ -74,32 +80,42 @@ def fold(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, fp long) of every whole text."""
+def word_columns(bits: int) -> list[str]:
+    return [f"w{i}" for i in range(bits // 64)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64) -> DataFrame:
+    """(id, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
+    are those of the shingles' hashes, the others of further mixings of the same hashes."""
+    names = word_columns(bits)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            out = np.zeros(len(batch), np.uint64)
+            out = np.zeros((len(names), len(batch)), np.uint64)
             for row, part, ends in pieces(data, offsets):
-                out[row : row + len(ends) - 1] = fold(*shingle_hashes(part, ends, words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+                h, bounds = shingle_hashes(part, ends, words)
+                for i in range(len(names)):
+                    out[i, row : row + len(ends) - 1] = fold(h, bounds)
+                    h = mix(h + np.uint64(2 * i + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["id", *names])
 
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, fp long")
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names))
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
+def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints: fixed pseudo-random words."""
-    return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
+    return np.random.default_rng(64).integers(0, 1 << 64, (n, words), dtype=np.uint64)
 
 
-def pair_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def pair_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (fp, smaller root) within runs of equal ``group``.
 
     Side 0 and side 1 rows of a group are compared; side 2 rows with all of their group.
+    ``fp`` names a row, ``words`` (rows x words) are its bits.
     """
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+    table = np.stack([np.bitwise_count(words ^ p).sum(axis=1, dtype=np.int16) for p in pivots(words.shape[1])], axis=1)
     n = len(fp)
     root = np.arange(n)
     starts = np.flatnonzero(np.diff(group, axis=0, prepend=-1).any(axis=1)) if group.ndim > 1 else np.flatnonzero(np.diff(group, prepend=group[0] - 1 if n else 0))
@@ -117,7 +133,7 @@ def pair_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: in
             a, b = a[keep], b[keep]
             if not len(a):
                 break
-        keep = (np.bitwise_count(fp[a] ^ fp[b]) <= max_bits) & ((side[a] != side[b]) | (side[a] == 2))
+        keep = (np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int16) <= max_bits) & ((side[a] != side[b]) | (side[a] == 2))
         if keep.any():
             links_a.append(a[keep])
             links_b.append(b[keep])
@@ -142,16 +158,33 @@ def pair_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: in
     return fp[linked], fp[root[linked]]
 
 
-def links(fps: DataFrame, max_bits: int = 4, fp_col: str = "fp") -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints at ``max_bits`` or fewer bits."""
-    n = max_bits + 2
-    edges = [round(i * 64 / n) for i in range(n + 1)]
-    masks = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(n)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in (masks[i] | masks[j] for i, j in combinations(range(n), 2))]
-    keys = fps.select(
-        F.col(fp_col).alias("fp"),
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(fp_col).bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])).alias("x"),
-    ).select("x.t", "x.key", "fp")
+def sampled_keys(names: list[str], tables: int) -> list:
+    """Key columns of sampled bits; the choice is fixed."""
+    rng, out = np.random.default_rng(18), []
+    for _ in range(tables):
+        masks = [0] * len(names)
+        for bit in rng.choice(64 * len(names), KEY_BITS, replace=False).tolist():
+            masks[bit // 64] |= 1 << (bit % 64)
+        out.append(F.xxhash64(*[F.col(x).bitwiseAND(F.lit(_signed(m))) for x, m in zip(names, masks) if m]))
+    return out
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
+    """Spanning links (a, b) between distinct fingerprints (fp, w0, ...) at ``max_bits`` or fewer
+    differing bits. Without ``tables`` every link is found, by two equal blocks."""
+    names = word_columns(bits)
+    if tables is None:
+        n = max_bits + 2
+        edges = [round(i * 64 / n) for i in range(n + 1)]
+        masks = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(n)]
+        columns = [F.col("w0").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))) for i, j in combinations(range(n), 2)]
+    else:
+        columns = sampled_keys(names, tables)
+    keys = fps.select("fp", *names, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), c.alias("key")) for t, c in enumerate(columns)])).alias("x")).select("x.t", "x.key", "fp", *names)
     counts = keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     hot = keys.join(counts.hint("shuffle_hash"), ["t", "key"])
     # a bucket of s blocks is s * (s + 1) / 2 groups; a row goes to the s groups of its block
@@ -162,6 +195,7 @@ def links(fps: DataFrame, max_bits: int = 4, fp_col: str = "fp") -> DataFrame:
         "key",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte").alias("side"),
         "fp",
+        *names,
     )
 
     def run(batches):
@@ -179,9 +213,10 @@ def links(fps: DataFrame, max_bits: int = 4, fp_col: str = "fp") -> DataFrame:
 
     def compare(batch):
         own = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)], axis=1)
-        a, b = pair_links(own, batch.column(3).to_numpy(), batch.column(4).to_numpy().view(np.uint64), max_bits)
+        words = np.stack([batch.column(5 + i).to_numpy().view(np.uint64) for i in range(len(names))], axis=1)
+        a, b = pair_links(own, batch.column(3).to_numpy(), batch.column(4).to_numpy(), words, max_bits)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.repartition("g").sortWithinPartitions("g", "t", "key", "fp").mapInArrow(run, "a long, b long").distinct()
 
@@ -203,15 +238,17 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id reachable over links."""
-    fp = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = fp.groupBy("fp").agg(F.min("id").alias("least"))
-    label = components(links(distinct, max_bits))
-    named = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
+    """(id, w0, ..., component_id): component_id is the smallest id reachable over links."""
+    names = word_columns(bits)
+    named = F.col("w0") if bits == 64 else F.xxhash64(*names)
+    fp = cut(fingerprints(docs, id_col, text_col, words, bits).withColumn("fp", named), "fingerprints")
+    distinct = fp.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in names])
+    label = components(links(distinct, max_bits, bits, tables))
+    of_root = distinct.select("fp", "least").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = of_root.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return fp.join(of, "fp").select(F.col("id").alias(id_col), *names, "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -226,4 +263,4 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), words=4, max_bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
