@@ -1,4 +1,10 @@
 """All registered queries over the driver's tables, with their SQL."""
 
+from . import text_queries, usage_queries
+
+_FAMILIES = [usage_queries, text_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _family in _FAMILIES:
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES
