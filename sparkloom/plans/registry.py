@@ -1,8 +1,8 @@
 """All registered queries over the driver's tables, with their SQL."""
 
-from . import text_queries, usage_queries
+from . import audit_queries, graph_queries, text_queries, usage_queries
 
-_FAMILIES = [usage_queries, text_queries]
+_FAMILIES = [usage_queries, text_queries, graph_queries, audit_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in _FAMILIES:
