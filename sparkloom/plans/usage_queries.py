@@ -189,15 +189,15 @@ def recent_window(spark, d):
     return a.groupBy("file").agg(F.count_if(F.col("kind").isin("read", "read_cache_hit")).alias("read_count"), F.count_if(F.col("kind") == "register_edit").alias("edit_count"), F.max("seq").alias("last_seq"))
 
 
-def _windows(w):
+def _windows(*lengths):
     return lambda spark, d: (
-        B.table(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+        B.table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), *lengths).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
     )
 
 
-QUERIES["events_tumbling"] = _windows(F.window(F.col("ts").cast("timestamp"), "1 hour"))
+QUERIES["events_tumbling"] = _windows("1 hour")
 ORACLES["events_tumbling"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
-QUERIES["events_sliding"] = _windows(F.window(F.col("ts").cast("timestamp"), "2 hours", "1 hour"))
+QUERIES["events_sliding"] = _windows("2 hours", "1 hour")
 ORACLES["events_sliding"] = "SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start, event_type, value FROM events, range(0, 2) r(k)) GROUP BY ALL"
 
 
