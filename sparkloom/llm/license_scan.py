@@ -164,29 +164,41 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tupl
 
 
 def scan_text(index: Index, words: np.ndarray, place: np.ndarray, template: np.ndarray, position: np.ndarray, min_coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first, last + 1 word) of one text's matches."""
+    """(template, matched, first, last + 1 word) of one text's matches: exact copies first, then
+    aligned windows that meet none of them, nor each other."""
     out = []
     begin = place - position  # where the template would begin
-    order = np.lexsort((begin, template))
-    template, begin = template[order], begin[order]
-    cutting = np.flatnonzero((np.diff(template) != 0) | (np.diff(begin) > BAND)) + 1
-    for lo, hi in zip(np.append(0, cutting).tolist(), np.append(cutting, len(begin)).tolist()):
-        t = int(template[lo])
-        own, at = index.words[t], begin[lo:hi]
-        values, times = np.unique(at, return_counts=True)
-        guess = int(values[np.argmax(times)])
-        exact = 0 <= guess and guess + len(own) <= len(words) and bool((words[guess : guess + len(own)] == own).all())
-        if exact:
-            got = (len(own), guess, guess + len(own))
-        else:
-            band = BAND + int(values[-1] - values[0])
-            left = max(0, guess - band)
-            part = words[left : max(left, guess + len(own) + band)]
-            matched, first, last = align(own, part, guess - left, band) if len(part) else (0, 0, 0)
-            got = (matched, left + first, left + last)
-        if got[0] and got[0] >= min_coverage * len(own) - 1e-9:
-            if not (out and out[-1][0] == t and out[-1][2] < got[2] and got[1] < out[-1][3] or out and out[-1] == (t, *got)):
-                out.append((t, *got))
+    for t in np.unique(template).tolist():
+        own = index.words[t]
+        n = len(own)
+        values, times = np.unique(begin[template == t], return_counts=True)
+        taken: list[tuple[int, int]] = []  # spans, in order
+        for v in values.tolist():
+            if v >= 0 and v + n <= len(words) and (not taken or taken[-1][1] <= v) and (words[v : v + n] == own).all():
+                taken.append((v, v + n))
+                out.append((t, n, v, v + n))
+        copies = np.array([a for a, _ in taken], np.int64)
+        if len(copies):
+            at = np.clip(np.searchsorted(copies, values, "right") - 1, 0, len(copies) - 1)
+            after = np.minimum(at + 1, len(copies) - 1)
+            clear = (np.abs(values - copies[at]) >= n) & (np.abs(values - copies[after]) >= n)
+            values, times = values[clear], times[clear]
+        slack = min(BAND, max(1, n // 4))
+        lo, free = 0, 0  # no window begins before the end of the last one
+        while lo < len(values):
+            hi = lo + 1
+            while hi < len(values) and values[hi] - values[hi - 1] <= slack and values[hi] - values[lo] <= n // 2:
+                hi += 1
+            guess = int(values[lo + int(np.argmax(times[lo:hi]))])
+            band = slack + int(values[hi - 1] - values[lo])
+            left = max(free, guess - band, 0)
+            part = words[left : max(left, guess + n + band)]
+            if len(part):
+                matched, first, last = align(own, part, guess - left, band)
+                if matched and matched >= min_coverage * n - 1e-9:
+                    out.append((t, matched, left + first, left + last))
+                    free = left + last
+            lo = hi
     return out
 
 

@@ -70,7 +70,9 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     out = out.join(F.broadcast(totals))
     for dim in DIMENSIONS:
         out = out.withColumn(f"want_{dim}", F.col("total") * F.col(f"want_{dim}") / F.nullif(F.col(f"all_{dim}"), F.lit(0.0)))
-    for _ in range(rounds):
+    for turn in range(rounds):
+        if turn and turn % 5 == 0:
+            out = cut(out, "raked")  # plans stay short however many the rounds
         for dim in DIMENSIONS:
             now = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{dim}") / F.nullif(now, F.lit(0.0))).otherwise(F.lit(0.0)))

@@ -150,7 +150,9 @@ def best_cut(scored: DataFrame, step: float = 0.5, spare: float = 0.998) -> floa
         return -np.inf
     lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
     caught = np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
-    cuts = [r.b * step for r in rows] + [np.inf]
+    # half way from the last bin that goes to the first that stays
+    after = [r.b for r in rows[1:]] + [rows[-1].b + 1]
+    cuts = [-np.inf] + [(r.b + 1 + b) / 2 * step for r, b in zip(rows, after)]
     allowed = np.flatnonzero(lost <= 1 - spare)
     best = allowed[np.argmax(caught[allowed] - lost[allowed])]
     return cuts[best]
