@@ -13,6 +13,8 @@ from ..operators import usage as U
 
 #: Characters a turn may read, and a single read.
 TURN_BUDGET, READ_LIMIT, PREVIEW = 60_000, 20_000, 400
+#: Quiet time after which a session's state goes.
+QUIET_MS = 900_000
 
 
 def rate_limited(requests: DataFrame, key: str, seconds: int, limit: int, lateness: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -80,14 +82,15 @@ def read_modes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
         used += served
         out.append((key[0], r.seq, r.file, mode, served, used))
     state.update((turn, used, list(seen), list(seen.values())))
-    state.setTimeoutDuration(900_000)
+    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + QUIET_MS)
     yield pd.DataFrame(out, columns=["session", "seq", "file", "mode", "served", "used"])
 
 
 def session_reads(requests: DataFrame) -> DataFrame:
-    """Streaming reads (session, seq, query, file, chars) with their outcome; a session that is quiet
-    for 15 minutes is forgotten."""
-    return requests.groupBy("session").applyInPandasWithState(read_modes, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Streaming reads (session, seq, ts, query, file, chars) with their outcome; a session that is
+    quiet for 15 minutes of event time is forgotten."""
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return timed.groupBy("session").applyInPandasWithState(read_modes, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def subscription_state(events: DataFrame) -> DataFrame:

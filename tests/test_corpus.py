@@ -147,3 +147,25 @@ def test_transcripts(spark, tmp_path):
     t = C.read_transcripts(spark, str(tmp_path / "t.jsonl"))
     assert {r.sessionId: (r.input_tokens, r.output_tokens) for r in C.transcript_usage(t).collect()} == {"s": (3, 0), "s2": (4, 1)}
     assert C.last_session(t, "/p").first().sessionId == "s2"
+
+
+def test_refresh_equals_a_new_scan(spark):
+    from sparkloom.sources import history as H
+
+    cols = "path string, content string, file_hash string"
+    old = spark.createDataFrame([("a.py", "def f():\n    pass\n", "1"), ("b.py", "import a\n", "2"), ("c.py", "import b\n", "3")], cols)
+    new = spark.createDataFrame([("a.py", "def g():\n    pass\n", "9"), ("b.py", "import a\n", "2"), ("d.py", "import d\n", "4")], cols)
+    store = {"files": old, "symbols": X.symbols(old), "edges": X.edges(old)}
+    changed = H.changed_files(old, new)
+    assert sorted(r.path for r in changed.collect()) == ["a.py", "d.py"]
+    got = H.refresh(store, changed, spark.createDataFrame([("c.py",)], "path string"))
+    assert sorted(map(str, got["edges"].collect())) == sorted(map(str, X.edges(new).collect()))
+    assert sorted(r.id for r in got["symbols"].collect()) == sorted(r.id for r in X.symbols(new).collect()) == ["a.py::g"]
+
+
+def test_history(spark):
+    from sparkloom.sources import history as H
+
+    c = spark.sql("SELECT 'a' path, 'x' author, timestamp'2024-01-01' ts UNION ALL SELECT 'a', 'y', timestamp'2024-03-01' UNION ALL SELECT 'b', 'z', timestamp'2023-01-01'")
+    assert [r.path for r in H.recently_changed(c, "2024-03-10").collect()] == ["a"]
+    assert {r.path: r.author for r in H.last_author(c).collect()} == {"a": "y", "b": "z"}

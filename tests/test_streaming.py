@@ -1,5 +1,7 @@
 """Streaming operators give what a batch over the same rows gives."""
 
+from datetime import datetime
+
 import pandas as pd
 
 from sparkloom.operators import usage as U
@@ -13,10 +15,11 @@ def stream(spark, tmp_path, parts, schema):
 
 
 def test_session_reads(spark, tmp_path):
-    schema = "session string, seq long, query string, file string, chars long"
-    parts = [[("s", 1, "q", "a", 15_000), ("s", 2, "q", "a", 9_000), ("t", 3, "q", "a", 50_000)], [("s", 4, "q", "a", 18_000), ("s", 5, "r", "a", 100)]]
+    schema = "session string, seq long, ts timestamp, query string, file string, chars long"
+    at = datetime(2024, 1, 1)
+    parts = [[("s", 1, at, "q", "a", 15_000), ("s", 2, at, "q", "a", 9_000), ("t", 3, at, "q", "a", 50_000)], [("s", 4, at, "q", "a", 18_000), ("s", 5, at, "r", "a", 100)]]
     q = K.session_reads(stream(spark, tmp_path, parts, schema)).writeStream.format("memory").queryName("reads").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r.seq: (r["mode"], r.served) for r in spark.table("reads").collect()}
     assert got == {1: ("full", 15_000), 2: ("dedupe_preview", 400), 3: ("full", 20_000), 4: ("full", 18_000), 5: ("full", 100)}
 
@@ -28,7 +31,10 @@ def test_budget_runs_out():
         def update(self, x):
             self.get, self.exists = x, True
 
-        def setTimeoutDuration(self, _):
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, _):
             pass
 
     rows = pd.DataFrame([("s", i, "q", f"f{i}", 25_000) for i in range(5)], columns=["session", "seq", "query", "file", "chars"])
@@ -42,20 +48,18 @@ def test_upsert_sink_keeps_the_newest(spark, tmp_path):
     df = stream(spark, tmp_path, parts, schema)
     out = str(tmp_path / "out")
     q = df.writeStream.foreachBatch(K.upsert_sink(out, ["k", "s"], "id")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = sorted(map(tuple, K.read_upserted(spark, out).collect()))
     batch = U.latest(spark.read.schema(schema).parquet(str(tmp_path / "in")), ["k", "s"], __import__("pyspark.sql.functions", fromlist=["desc"]).desc("id"))
     assert got == sorted(map(tuple, batch.collect())) == [("a", "x", 3, 30), ("b", "y", 4, 40)]
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    from datetime import datetime
-
     schema = "ip string, ts timestamp"
     rows = [("a", datetime(2024, 1, 1, 0, 0, s)) for s in (1, 2, 3)] + [("b", datetime(2024, 1, 1, 0, 2, 0))]
     df = stream(spark, tmp_path, [rows], schema)
     q = K.rate_limited(df, "ip", 60, 2).writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert sorted(map(str, spark.table("rates").collect())) == sorted(map(str, U.rate_windows(spark.createDataFrame(rows, schema), "ip", 60, 2).collect()))
 
 
