@@ -1,8 +1,8 @@
 """All registered queries over the driver's tables, with their SQL."""
 
-from . import audit_queries, graph_queries, stream_queries, text_queries, usage_queries
+from . import audit_queries, code_queries, graph_queries, stream_queries, text_queries, usage_queries
 
-_FAMILIES = [usage_queries, text_queries, graph_queries, audit_queries, stream_queries]
+_FAMILIES = [usage_queries, text_queries, graph_queries, audit_queries, code_queries, stream_queries]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _family in _FAMILIES:
