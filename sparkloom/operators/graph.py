@@ -62,7 +62,8 @@ def system_map(deg: DataFrame, n: int = 10) -> DataFrame:
         "hotspots": (F.col("in_degree") > 0, F.col("in_degree")), "entry_points": ((F.col("in_degree") == 0) & (F.col("out_degree") > 0), F.col("out_degree")),
         "complex": (total > 0, total), "islands": (total == 0, F.lit(0)),
     }
-    picked = [deg.filter(keep).select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(F.desc(key), "node")).alias("rank"), "node").filter(F.col("rank") <= n) for name, (keep, key) in rules.items()]
+    # the top rows are taken before they are numbered, so no window sees more than n rows
+    picked = [deg.filter(keep).select("node", key.alias("k")).orderBy(F.desc("k"), "node").limit(n).select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(F.desc("k"), "node")).alias("rank"), "node") for name, (keep, key) in rules.items()]
     out = picked[0]
     for p in picked[1:]:
         out = out.unionByName(p)

@@ -176,7 +176,9 @@ def log_savings(log: DataFrame) -> DataFrame:
     read = F.col("tool").isin("graph_read", "native_read")
     plain = read & ~F.col("mode").isin("cross_turn_pointer", "dedupe_preview") & (F.col("full_chars") > 0)
     rows = log.withColumn("_plain", plain).withColumn("_base", F.when(plain & (F.col("file") != ""), base))
-    rows = rows.withColumn("_first", F.col("_base").isNull() | (F.row_number().over(Window.partitionBy("_base").orderBy("seq")) == 1))
+    # rows without a file are spread by their number: they would all meet in one group
+    spread = F.coalesce("_base", F.concat(F.lit("#"), F.col("seq").cast("string")))
+    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy(spread, F.col("_base").isNull()).orderBy("seq")) == 1)
     capped = F.least("full_chars", F.lit(READ_CAP_CHARS))
     quarter = lambda c: F.floor(c / 4)
     pointer, preview = read & (F.col("mode") == "cross_turn_pointer"), read & (F.col("mode") == "dedupe_preview")
