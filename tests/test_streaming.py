@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sparkloom.operators import usage as U
 from sparkloom.streaming import sessions as K
@@ -50,7 +51,7 @@ def test_upsert_sink_keeps_the_newest(spark, tmp_path):
     q = df.writeStream.foreachBatch(K.upsert_sink(out, ["k", "s"], "id")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     got = sorted(map(tuple, K.read_upserted(spark, out).collect()))
-    batch = U.latest(spark.read.schema(schema).parquet(str(tmp_path / "in")), ["k", "s"], __import__("pyspark.sql.functions", fromlist=["desc"]).desc("id"))
+    batch = U.latest(spark.read.schema(schema).parquet(str(tmp_path / "in")), ["k", "s"], F.desc("id"))
     assert got == sorted(map(tuple, batch.collect())) == [("a", "x", 3, 30), ("b", "y", 4, 40)]
 
 
