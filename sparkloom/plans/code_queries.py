@@ -77,3 +77,50 @@ def read_modes(spark, d):
     t = F.col("event_type")
     mode = P.read_mode(F.lit(60.0), F.when(F.col("event_id") % 5 == 0, 60_000).otherwise(0), F.when(F.col("value") > 60, F.col("value")).otherwise(-1.0), F.col("event_id") % 13 != 0, t == "error", t == "view", t == "click", t == "signup")
     return B.table(spark, d, "events").select("event_id", mode.alias("mode"))
+
+
+@query("""WITH c AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w, n_chars FROM documents), o AS (SELECT doc_id, CAST(len(list_intersect(w, ['the', 'that', 'thing', 'license', 'token', 'ment', 'tion'])) AS INTEGER) AS overlap, n_chars FROM c)
+SELECT doc_id AS file, overlap FROM o WHERE overlap >= 3 ORDER BY overlap DESC, n_chars DESC, doc_id LIMIT 3""")
+def memory_first(spark, d):
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    cache = B.table(spark, d, "documents").select(F.col("doc_id").alias("file"), words.alias("cached_terms"), F.col("n_chars").alias("tokens"))
+    return P.remembered(cache, F.array(*map(F.lit, ["the", "that", "thing", "license", "token", "ment", "tion"]))).select("file", "overlap")
+
+
+@query("""WITH f AS (SELECT DISTINCT event_id, user_id, event_type, ts FROM events), s AS (SELECT *, CASE event_type WHEN 'signup' THEN 'active' WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'past_due' WHEN 'click' THEN 'cancelled' END AS status FROM f)
+SELECT user_id AS sub_id, arg_max(status, ts) AS status FROM s WHERE status IS NOT NULL GROUP BY user_id""")
+def subscription_state(spark, d):
+    from ..streaming import sessions as K
+
+    e = B.table(spark, d, "events")
+    names = B.mapped(F.col("event_type"), {"signup": "created", "purchase": "payment_success", "error": "payment_failed", "click": "cancelled", "view": "looked"})
+    twice = e.unionByName(e.filter("event_id % 10 = 0"))  # some deliveries come twice
+    rows = twice.select("event_id", F.col("user_id").alias("sub_id"), names.alias("event"), "ts", F.col("ts").alias("renews_at"))
+    return K.subscription_state(rows).select("sub_id", "status")
+
+
+@query("SELECT page_id AS key FROM pages WHERE page_id % 2 = 0 AND page_id % 5 <> 0")
+def cache_validity(spark, d):
+    from ..operators import memory as M
+
+    p = B.table(spark, d, "pages").select(F.col("page_id").alias("key"))
+    cache = p.select("key", F.when(F.col("key") % 2 == 0, 1000).otherwise(10).cast("long").alias("created_epoch"), F.array(F.struct(F.concat(F.lit("f"), "key").alias("path"), F.lit(1).cast("long").alias("mtime"))).alias("files"))
+    files = p.select(F.concat(F.lit("f"), "key").alias("path"), F.when(F.col("key") % 5 == 0, 2).otherwise(1).cast("long").alias("mtime"))
+    return M.cache_valid(cache, files, 1500).select("key")
+
+
+@query("SELECT 'u' || (p_partkey + 1) AS file, CAST(1 AS BIGINT) AS uses FROM part WHERE p_partkey % 2 = 0")
+def missing_from_diff(spark, d):
+    p = B.table(spark, d, "part")
+    # every even part's file has a user outside of the diff, every odd one's is used by a file in it
+    target = F.concat(F.lit("f"), "p_partkey", F.lit("."), F.element_at(F.array(*[F.lit(e) for e, _ in DIFFS]), (F.col("p_partkey") % len(DIFFS) + 1).cast("int")))
+    edges = p.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("u"), F.col("p_partkey") + 1)).otherwise(target).alias("src"), target.alias("dst"))
+    return D.missing_from_diff(D.parse(diffs(spark, d)), edges)
+
+
+@query("""WITH r AS (SELECT lang AS review_id, doc_id % 3 AS priority, source || '/' || doc_id AS path, least(n_chars, 6000) AS want, coalesce(sum(least(n_chars, 6000)) OVER (PARTITION BY lang ORDER BY doc_id % 3, source || '/' || doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT review_id, path, CAST(least(want, 30000 - before) AS BIGINT) AS taken FROM r WHERE least(want, 30000 - before) > 0""")
+def review_context(spark, d):
+    docs = B.table(spark, d, "documents")
+    files = docs.select(F.col("lang").alias("review_id"), (F.col("doc_id") % 3).alias("priority"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"))
+    return D.review_context(files).select("review_id", "path", F.col("taken").cast("long").alias("taken"))
