@@ -13,7 +13,7 @@ from sparkloom.llm import decontaminate, line_dedup, mixing, quality, simhash
 from sparkloom.llm.common import cut, read_table
 
 #: Bits of the near-dedup fingerprint; documents link at 0.8 or more equal bits.
-FINGERPRINT_BITS, SIMILARITY, TABLES = 256, 0.8, 64
+FINGERPRINT_BITS, SIMILARITY, TABLES = 256, 0.8, 96
 #: Lines of so many code points found in so many documents stay only where they come first.
 MIN_LINE_CHARS, MIN_LINE_DOCS = 20, 10
 
@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample of calibrated probabilities, with each document's probability."""
-    found = mixing.mixed(docs)
+    found = mixing.mixed(mixing.measured(docs))
     return found.filter("_kept").select(*docs.columns, F.col("_topic").alias("topic"), F.col("_probability").alias("probability"))
 
 
