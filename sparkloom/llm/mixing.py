@@ -85,9 +85,9 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 10, fraction: float = 0.8, seed: int = 9, rules: Mapping[str, str] = TOPICS) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _probability and _kept."""
-    rows = measured(docs, text_col, rules)
+def mixed(rows: DataFrame, id_col: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 10, fraction: float = 0.8, seed: int = 9) -> DataFrame:
+    """``measured`` rows with _probability and _kept. They are read twice, for the cells and for the
+    sample: rows whose texts cost more than a copy of their measures are best cut before."""
     cells = cut(rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")), "cells")
     fitted = cut(rake(cells, targets, alpha, rounds), "fitted")
     rate = fitted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(fraction) * F.col("weight") / F.nullif("tokens", F.lit(0)))).otherwise(F.least(F.lit(1.0), F.lit(fraction))).alias("_probability"))
@@ -95,7 +95,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixed(read_table(spark, sf_dir, "documents"))
+    found = mixed(cut(measured(read_table(spark, sf_dir, "documents")).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "measured"))
     return found.select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 9).alias("probability"), F.col("_kept").alias("kept"))
 
 
