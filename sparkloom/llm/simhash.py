@@ -43,7 +43,9 @@ PIVOTS = 32
 #: Sampled bits of a table's key, for wide fingerprints.
 KEY_BITS = 24
 #: Shingles whose bits are expanded at once.
-_SLICE = 1 << 19
+_SLICE = 1 << 17
+#: Bytes of text whose shingles are held at once; a longer text is taken alone.
+TEXT_BYTES = 1 << 20
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out = np.zeros((len(names), len(batch)), np.uint64)
-            for row, part, ends in pieces(data, offsets):
+            for row, part, ends in pieces(data, offsets, TEXT_BYTES):
                 h, bounds = shingle_hashes(part, ends, words)
                 for i in range(len(names)):
                     out[i, row : row + len(ends) - 1] = fold(h, bounds)
