@@ -13,7 +13,7 @@ from sparkloom.llm import decontaminate, line_dedup, mixing, quality, simhash
 from sparkloom.llm.common import cut, read_table
 
 #: Bits of the near-dedup fingerprint; documents link at 0.8 or more equal bits.
-FINGERPRINT_BITS, SIMILARITY, TABLES = 256, 0.8, 96
+FINGERPRINT_BITS, SIMILARITY, TABLES = 256, 0.8, 246
 #: Lines of so many code points found in so many documents stay only where they come first.
 MIN_LINE_CHARS, MIN_LINE_DOCS = 20, 10
 

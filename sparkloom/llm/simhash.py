@@ -11,10 +11,14 @@
    coordinate, and the survivors are verified by their differing bits. A bucket of more
    than ``BLOCK`` fingerprints is split into blocks whose pairs are separate groups.
    Each group returns a spanning forest of its links, never all pairs.
-   Wider fingerprints (``bits`` 128, 256, ...) for lower similarities meet in ``tables`` tables
-   keyed by ``KEY_BITS`` sampled bits instead. These find a pair whose share of differing bits
-   is p with probability 1 - (1 - (1 - p) ** KEY_BITS) ** tables: 0.99 at p = 0.12, 0.86 at
-   p = 0.15 for 96 tables; what they find is linked by the same exact test.
+   Wider fingerprints (``bits`` 128, 256, ...) for lower similarities meet in two kinds of
+   tables instead; what either finds is linked by the same exact test. ``MIN_TABLES`` tables are
+   keyed by ``MINIMA`` smallest shingle hashes, each under its own permutation: texts of
+   shingle-set Jaccard j meet with probability 1 - (1 - j ** MINIMA) ** MIN_TABLES (over
+   1 - 1e-13 at 0.8, 0.9999 at 0.5). ``tables`` tables are keyed by ``KEY_BITS`` sampled bits,
+   for texts alike only by repeated shingles: a pair whose share of differing bits is p meets
+   with probability 1 - (1 - (1 - p) ** KEY_BITS) ** tables (for 246 tables 0.99 at p = 0.15,
+   0.69 at 0.2).
 5. Components: smallest-label propagation with pointer jumping, each round written to the
    shared folder, until nothing changes.
 
@@ -42,6 +46,8 @@ BLOCK = 1024
 PIVOTS = 32
 #: Sampled bits of a table's key, for wide fingerprints.
 KEY_BITS = 24
+#: Tables keyed by smallest shingle hashes, for wide fingerprints, and hashes of such a key.
+MIN_TABLES, MINIMA = 32, 2
 #: Shingles whose bits are expanded at once.
 _SLICE = 1 << 17
 #: Bytes of text whose shingles are held at once; a longer text is taken alone.
@@ -82,28 +88,49 @@ def fold(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(bounds)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def minima_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """MIN_TABLES keys of each row that has shingles, by its set of shingles alone."""
+    at = bounds[:-1][np.diff(bounds) > 0]
+    odd = np.random.default_rng(32).integers(0, 1 << 64, (MIN_TABLES, MINIMA), dtype=np.uint64) | np.uint64(1)
+    out = np.empty((len(at), MIN_TABLES), np.uint64)
+    for t in range(MIN_TABLES if len(at) else 0):
+        key = np.full(len(at), t, np.uint64)
+        for factor in odd[t]:
+            key = mix(key + np.minimum.reduceat(hashes * factor, at))
+        out[:, t] = key
+    return out
+
+
 def word_columns(bits: int) -> list[str]:
     return [f"w{i}" for i in range(bits // 64)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, minima: bool = False) -> DataFrame:
     """(id, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
-    are those of the shingles' hashes, the others of further mixings of the same hashes."""
+    are those of the shingles' hashes, the others of further mixings of the same hashes.
+    With ``minima`` also its keys by smallest shingle hashes, none for a text without words."""
     names = word_columns(bits)
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out = np.zeros((len(names), len(batch)), np.uint64)
+            keys, n_keys = [np.zeros(0, np.uint64)], np.zeros(len(batch) + 1, np.int32)
             for row, part, ends in pieces(data, offsets, TEXT_BYTES):
                 h, bounds = shingle_hashes(part, ends, words)
+                if minima:
+                    keys.append(minima_keys(h, bounds).ravel())
+                    n_keys[row + 1 : row + len(ends)] = MIN_TABLES * (np.diff(bounds) > 0)
                 for i in range(len(names)):
                     out[i, row : row + len(ends) - 1] = fold(h, bounds)
                     h = mix(h + np.uint64(2 * i + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], ["id", *names])
+            columns = [batch.column(0), *(pa.array(x.view(np.int64)) for x in out)]
+            if minima:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n_keys, dtype=np.int32)), pa.array(np.concatenate(keys).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", *names, "minima"][: len(columns)])
 
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names))
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + (", minima array<long>" if minima else ""))
 
 
 def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
@@ -172,37 +199,86 @@ def pair_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, words: np.nd
     return fp[linked], fp[root[linked]]
 
 
-def sampled_keys(names: list[str], tables: int) -> list:
-    """Key columns of sampled bits; the choice is fixed."""
-    rng, out = np.random.default_rng(18), []
-    for _ in range(tables):
-        masks = [0] * len(names)
-        for bit in rng.choice(64 * len(names), KEY_BITS, replace=False).tolist():
-            masks[bit // 64] |= 1 << (bit % 64)
-        out.append(F.xxhash64(*[F.col(x).bitwiseAND(F.lit(_signed(m))) for x, m in zip(names, masks) if m]))
+def sampled_masks(words: int, tables: int) -> np.ndarray:
+    """(tables x words) masks of each table's sampled bits; the choice is fixed."""
+    rng, out = np.random.default_rng(18), np.zeros((tables, words), np.uint64)
+    for t in range(tables):
+        for bit in rng.choice(64 * words, KEY_BITS, replace=False).tolist():
+            out[t, bit // 64] |= np.uint64(1 << (bit % 64))
     return out
 
 
+def sampled_keys(words: np.ndarray, masks: np.ndarray):
+    """Yield each table's keys of fingerprints (rows x words): hashes of table and sampled bits."""
+    for t, mask in enumerate(masks):
+        key = np.full(len(words), MIN_TABLES + t, np.uint64)
+        for i in np.flatnonzero(mask):
+            key = mix(key ^ (words[:, i] & mask[i])) + np.uint64(i + 1)
+        yield key
+
+
+def repeated(batches):
+    """(key, fp, n) of the keys that n > 1 rows have, from rows (key, fp) sorted by key."""
+    held = []
+
+    def settled(batch):
+        key = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+        sizes = np.diff(np.append(starts, len(key)))
+        n = np.repeat(sizes, sizes)
+        part = batch.filter(pa.array(n > 1))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(n[n > 1], pa.int64())], ["key", "fp", "n"])
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        last = batch.column(0)[-1].as_py()
+        if held[0].column(0)[0].as_py() == last:
+            continue
+        whole = joined()
+        end = int(np.searchsorted(whole.column(0).to_numpy(), last))
+        yield settled(whole.slice(0, end))
+        held = [whole.slice(end)]
+    if held:
+        yield settled(joined())
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None = None, minima: DataFrame | None = None) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (fp, w0, ...) at ``max_bits`` or fewer
-    differing bits. Without ``tables`` every link is found, by two equal blocks."""
+    differing bits. Without ``tables`` every link is found, by two equal blocks; with them, those
+    that meet in a table or share a key of ``minima``, distinct rows (fp, key)."""
     names = word_columns(bits)
+
+    def sampled(batches):
+        masks = sampled_masks(len(names), tables)
+        for batch in batches:
+            words = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(len(names))], axis=1)
+            for key in sampled_keys(words, masks):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
+
     if tables is None:
         n = max_bits + 2
         edges = [round(i * 64 / n) for i in range(n + 1)]
         masks = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(n)]
         columns = [F.col("w0").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))) for i, j in combinations(range(n), 2)]
+        # a key is the hash of table and bits: equal hashes of different ones only add comparisons
+        keys = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), c) for t, c in enumerate(columns)])).alias("key"))
+        counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        hot = keys.join(counts.hint("shuffle_hash"), "key").withColumn("w0", F.col("fp"))
     else:
-        columns = sampled_keys(names, tables)
-    # a key is the hash of table and bits: equal hashes of different ones only add comparisons
-    keys = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), c) for t, c in enumerate(columns)])).alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    hot = keys.join(counts.hint("shuffle_hash"), "key")
-    hot = hot.withColumn("w0", F.col("fp")) if bits == 64 else hot.join(fps.select("fp", *names), "fp")
+        # many more keys, nearly all of one row: these move once
+        keys = fps.select("fp", *names).mapInArrow(sampled, "key long, fp long")
+        keys = keys if minima is None else keys.unionByName(minima)
+        hot = keys.repartition("key").sortWithinPartitions("key").mapInArrow(repeated, "key long, fp long, n long")
+        hot = hot.join(fps.select("fp", *names), "fp")
     # a bucket of s blocks is s * (s + 1) / 2 groups; a row goes to the s groups of its block
     hot = hot.withColumn("s", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "key"), F.col("s")).cast("int"))
     dealt = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select(
@@ -265,9 +341,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, w0, ..., component_id): component_id is the smallest id reachable over links."""
     names = word_columns(bits)
     named = F.col("w0") if bits == 64 else F.xxhash64(*names)
-    fp = cut(fingerprints(docs, id_col, text_col, words, bits).withColumn("fp", named), "fingerprints")
+    fp = cut(fingerprints(docs, id_col, text_col, words, bits, tables is not None).withColumn("fp", named), "fingerprints")
     distinct = fp.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in names])
-    label = components(links(distinct, max_bits, bits, tables))
+    # texts of one fingerprint may differ in shingles, so each brings its keys
+    minima = None if tables is None else fp.select("fp", F.explode("minima").alias("key")).distinct()
+    label = components(links(distinct, max_bits, bits, tables, minima))
     of_root = distinct.select("fp", "least").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of_root.select("fp", "root").join(least, "root").select("fp", "component_id")

@@ -85,3 +85,26 @@ def test_near_copies_of_the_pipeline(spark):
         rows += [(10 * i, b), (10 * i + 1, b), (10 * i + 2, " ".join(["changed" if j in (50, 150) else x for j, x in enumerate(w)]))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.near_dedup_stage(spark, docs, "").collect()) == [10 * i for i in range(12)]
+
+
+def test_isolated_near_copies_of_the_pipeline(spark):
+    import random
+
+    import corpus_pipeline as p
+    from sparkloom.llm import simhash
+
+    rng = random.Random(8)
+    rows, max_bits = [], int(p.FINGERPRINT_BITS * (1 - p.SIMILARITY))
+    for i in range(300):
+        a = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        at, n = rng.randint(20, 240), rng.randint(21, 28)
+        b = a[:at] + [f"x{rng.randint(0, 10**6)}" for _ in range(n)] + a[at + n :]
+        x, y = ({tuple(t[j : j + 5]) for j in range(296)} for t in (a, b))
+        assert 0.8 <= len(x & y) / len(x | y) <= 0.85
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    fp = {r.id: [x & (2**64 - 1) for x in r[1:]] for r in simhash.fingerprints(docs, bits=p.FINGERPRINT_BITS).collect()}
+    alike = {i for i in range(0, 600, 2) if sum((x ^ y).bit_count() for x, y in zip(fp[i], fp[i + 1])) <= max_bits}
+    assert len(alike) > 250
+    kept = {r.doc_id for r in p.near_dedup_stage(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(600)) - {i + 1 for i in alike}
