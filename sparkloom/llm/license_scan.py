@@ -3,7 +3,8 @@
 1. Templates are cut into words; hashes of ``GRAM`` consecutive words are winnowed: of every
    ``WINNOW`` consecutive hashes the smallest (rightmost on ties) is kept, so any shared run of
    GRAM + WINNOW - 1 words meets a kept hash, and a template shorter than that keeps at
-   least one. An inverted index maps a hash to (template, position).
+   least one; one of fewer than ``GRAM`` words has the hash of all its words. An inverted index
+   for each length of a run maps a hash to (template, position).
 2. Every word run of every whole text is looked up. Hits close to one diagonal of a template
    make a candidate window of the text.
 3. The template is aligned with the window by dynamic programming in a band about the
@@ -13,7 +14,7 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, in lower case.
 
-Defined cases: null or empty texts, and templates of fewer than ``GRAM`` words, match nothing;
+Defined cases: null or empty texts, and templates without words, match nothing;
 overlapping windows of a template are one candidate, further copies are further rows; of
 overlapping matches of different templates all are reported; repeated rows each give
 their rows; other columns are ignored.
@@ -39,6 +40,7 @@ MAX_TEMPLATE_WORDS = 1 << 20
 
 #: Notices as their licences word them.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
@@ -77,12 +79,12 @@ def word_hashes(column: pa.Array, hasher: SpanHash):
         yield first, part, ends, starts, stops, hasher(part, starts, stops), bounds
 
 
-def gram_hashes(h: np.ndarray) -> np.ndarray:
-    """Hash of each GRAM consecutive word hashes; the caller minds row ends."""
-    n = max(0, len(h) - GRAM + 1)
+def gram_hashes(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of each ``gram`` consecutive word hashes; the caller minds row ends."""
+    n = max(0, len(h) - gram + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(GRAM):
+        for i in range(gram):
             out = out * np.uint64(0x100000001B3) + h[i : i + n]
     return mix(out)
 
@@ -97,7 +99,7 @@ def winnow(grams: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Templates' word hashes and the inverted index of their fingerprints."""
+    """Templates' word hashes and the inverted index of their fingerprints, by run length."""
 
     def __init__(self, templates: Mapping[str, str]) -> None:
         self.names = sorted(templates)
@@ -108,19 +110,32 @@ class Index:
             self.words.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError("templates are too large to send to every task; scan with parts of them")
-        rows = [(int(g[p]), t, int(p)) for t, w in enumerate(self.words) if len(w) >= GRAM for g in [gram_hashes(w)] for p in winnow(g)]
-        rows.sort()
-        self.key = np.array([x[0] for x in rows], np.uint64)
-        self.template = np.array([x[1] for x in rows], np.int64)
-        self.position = np.array([x[2] for x in rows], np.int64)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in text, template, position in template) of every posting met."""
-        lo, hi = np.searchsorted(self.key, grams, "left"), np.searchsorted(self.key, grams, "right")
-        at = np.flatnonzero(hi > lo)
-        n = (hi - lo)[at]
-        posting = np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(at, n), self.template[posting], self.position[posting]
+        rows: dict[int, list] = {}
+        for t, w in enumerate(self.words):
+            if len(w):
+                g = gram_hashes(w, gram := min(GRAM, len(w)))
+                rows.setdefault(gram, []).extend((int(g[p]), t, int(p)) for p in winnow(g))
+        self.by_gram = {}
+        for gram, found in rows.items():
+            found.sort()
+            key, template, position = zip(*found)
+            self.by_gram[gram] = np.array(key, np.uint64), np.array(template, np.int64), np.array(position, np.int64)
+
+    def hits(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in text, template, position in template) of every posting met by the word
+        hashes of rows."""
+        parts = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+        for gram, (key, template, position) in self.by_gram.items():
+            grams = gram_hashes(h, gram)
+            lo, hi = np.searchsorted(key, grams, "left"), np.searchsorted(key, grams, "right")
+            at = np.flatnonzero(hi > lo)
+            row = np.searchsorted(bounds, at, "right") - 1
+            fits = at + gram <= bounds[row + 1]
+            at, row = at[fits], row[fits]
+            n = (hi - lo)[at]
+            posting = np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            parts.append((np.repeat(row, n), np.repeat(at, n), template[posting], position[posting]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -213,10 +228,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
         for batch in batches:
             found = []
             for first, part, ends, starts, stops, h, bounds in word_hashes(batch.column(1), hasher):
-                place, template, position = index.hits(gram_hashes(h))
-                row = np.searchsorted(bounds, place, "right") - 1
-                fits = place + GRAM <= bounds[row + 1] if len(place) else np.zeros(0, bool)
-                place, template, position, row = place[fits], template[fits], position[fits], row[fits]
+                row, place, template, position = index.hits(h, bounds)
                 for r in np.unique(row).tolist():
                     own = row == r
                     base, top = int(bounds[r]), int(bounds[r + 1])

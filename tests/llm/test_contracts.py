@@ -267,6 +267,14 @@ def test_license_scan_finds_what_plain_search_finds(spark, sf):
     assert license_scan.query(spark, path).count() == sum("Released under the MIT" in (t or "") for t in texts)
 
 
+def test_templates_shorter_than_a_gram(spark):
+    docs = spark.createDataFrame([(1, "x\nAll rights reserved.\ny ALL RIGHTS, RESERVED"), (2, "all rights"), (3, "all rights are reserved"), (4, "one word")], "doc_id long, text string")
+    got = [(r.doc_id, r.template, r.span_start, r.span_end) for r in license_scan.scan(docs).orderBy("doc_id", "span_start").collect()]
+    assert got == [(1, "all-rights-reserved", 2, 21), (1, "all-rights-reserved", 25, 45)]
+    one = license_scan.scan(docs, {"w": "Word", "none": "..."}).collect()
+    assert [(r.doc_id, r.template, r.span_start) for r in one] == [(4, "w", 4)]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 50, 200).astype(np.uint64)
