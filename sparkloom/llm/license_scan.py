@@ -1,10 +1,13 @@
 """License scans: winnowed template fingerprints pick candidates, banded alignment confirms.
 
-1. Templates are cut into words; hashes of ``GRAM`` consecutive words are winnowed: of every
-   ``WINNOW`` consecutive hashes the smallest (rightmost on ties) is kept, so any shared run of
-   GRAM + WINNOW - 1 words meets a kept hash, and a template shorter than that keeps at
-   least one; one of fewer than ``GRAM`` words has the hash of all its words. An inverted index
-   for each length of a run maps a hash to (template, position).
+1. Templates are cut into words. A match at ``min_coverage`` of an n-word template with no words put
+   in has at most e = n - ceil(min_coverage * n) words changed or left out, so the others hold a run
+   of ceil((n - e) / (e + 1)) unedited words. Hashes of so many consecutive words, ``GRAM`` at
+   most, are all indexed, so every such match meets one. Where that run is at least
+   GRAM + WINNOW - 1 words, hashes are winnowed: of every ``WINNOW`` consecutive hashes the smallest
+   (rightmost on ties) is kept, and any shared run of that length meets a kept one. A match with words
+   put in is sure to be met only if they leave a run of that length whole. An inverted index for
+   each length of a run maps a hash to (template, position).
 2. Every word run of every whole text is looked up. Hits close to one diagonal of a template
    make a candidate window of the text.
 3. The template is aligned with the window by dynamic programming in a band about the
@@ -98,10 +101,16 @@ def winnow(grams: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + WINNOW - 1 - np.argmin(windows[:, ::-1], axis=1))
 
 
+def unedited_run(n: int, min_coverage: float) -> int:
+    """Words of the longest unedited run that a match of an n-word template is sure to hold."""
+    matched = min(n, max(1, int(np.ceil(min_coverage * n - 1e-9))))
+    return -(-matched // (n - matched + 1))
+
+
 class Index:
     """Templates' word hashes and the inverted index of their fingerprints, by run length."""
 
-    def __init__(self, templates: Mapping[str, str]) -> None:
+    def __init__(self, templates: Mapping[str, str], min_coverage: float = 0.8) -> None:
         self.names = sorted(templates)
         hasher = SpanHash()
         self.words = []
@@ -113,8 +122,10 @@ class Index:
         rows: dict[int, list] = {}
         for t, w in enumerate(self.words):
             if len(w):
-                g = gram_hashes(w, gram := min(GRAM, len(w)))
-                rows.setdefault(gram, []).extend((int(g[p]), t, int(p)) for p in winnow(g))
+                run = unedited_run(len(w), min_coverage)
+                g = gram_hashes(w, gram := min(GRAM, run))
+                kept = winnow(g) if run >= GRAM + WINNOW - 1 else range(len(g))
+                rows.setdefault(gram, []).extend((int(g[p]), t, int(p)) for p in kept)
         self.by_gram = {}
         for gram, found in rows.items():
             found.sort()
@@ -220,7 +231,7 @@ def scan_text(index: Index, words: np.ndarray, place: np.ndarray, template: np.n
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = 0.8) -> DataFrame:
     """(id, template, matched_words, template_words, coverage, span_start, span_end) of every
     match; spans count code points of the text, the end exclusive."""
-    index = Index(templates)
+    index = Index(templates, min_coverage)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):

@@ -275,6 +275,23 @@ def test_templates_shorter_than_a_gram(spark):
     assert [(r.doc_id, r.template, r.span_start) for r in one] == [(4, "w", 4)]
 
 
+def test_edited_copies_of_short_templates(spark):
+    """Every change and every omission of as many words as min_coverage allows."""
+    from itertools import combinations
+
+    short = {k: re.findall("[A-Za-z0-9]+", v) for k, v in license_scan.TEMPLATES.items() if len(v) < 100}
+    rows, want = [("Licensed under the MIT License.",), ("Distributed under the MIT License.",)], {("Licensed under the MIT License.", "mit-line"), ("Distributed under the MIT License.", "mit-line")}
+    for name, words in short.items():
+        for at in combinations(range(len(words)), len(words) - math.ceil(0.8 * len(words))):
+            for put in (["edit"], []):
+                text = " ".join(x for i, w in enumerate(words) for x in (put if i in at else [w]))
+                rows.append((f"some text {text} and more",))
+                want.add((rows[-1][0], name))
+    docs = spark.createDataFrame(rows, "text string")
+    got = license_scan.scan(docs, id_col="text").collect()
+    assert want <= {(r.text, r.template) for r in got} and all(r.coverage >= 0.8 for r in got)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     g = rng.integers(0, 50, 200).astype(np.uint64)
