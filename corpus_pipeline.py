@@ -16,6 +16,9 @@ from sparkloom.llm.common import cut, read_table
 FINGERPRINT_BITS, SIMILARITY, TABLES = 256, 0.8, 246
 #: Lines of so many code points found in so many documents stay only where they come first.
 MIN_LINE_CHARS, MIN_LINE_DOCS = 20, 10
+#: Lines of so many words stay only where they come first from the second document on. They go once
+#: whole near copies have gone, of which they would leave fragments otherwise.
+MIN_PASSAGE_WORDS = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +39,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, without long lines that repeat across them."""
     found = decontaminate.contained_items(docs, read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.drop_contaminated(docs, found)
+    clean = cut(decontaminate.drop_contaminated(docs, found), "clean")
+    maps = line_dedup.keep_bitmaps(clean, min_docs=2, keep_first=True, min_words=MIN_PASSAGE_WORDS)
+    return line_dedup.drop_lines(clean, maps).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,8 +42,8 @@ def n_points(key: bytes) -> int:
     return len(key) if key.isascii() else len(key.decode("utf-8", "replace"))
 
 
-def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h1, h2, id, version, pos): one row per line with a long enough key."""
+def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_words: int = 0) -> DataFrame:
+    """(h1, h2, id, version, pos): one row per line with a key of enough code points and words."""
 
     def run(batches):
         digest, signed = xxhash.xxh3_128_digest, np.dtype("<i8")
@@ -61,7 +61,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 text = texts[i].as_buffer()
                 for p, line in enumerate((text.to_pybytes() if text is not None else b"").split(b"\n")):
                     key = line_key(line)
-                    if n_points(key) >= min_chars:
+                    if n_points(key) >= min_chars and (not min_words or len(key) >= 2 * min_words - 1 and len(key.split()) >= min_words):
                         rows.append(i), pos.append(p), raw.append(digest(key))
                         if len(rows) >= _BATCH:
                             yield flush()
@@ -131,9 +131,9 @@ def mark(batches, min_docs: int, keep_first: bool):
         yield from settle(rest, True)
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, keep_first: bool) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, keep_first: bool, min_words: int = 0) -> DataFrame:
     """(id, version, pos) of every line to drop."""
-    hashes = cut(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    hashes = cut(line_hashes(docs, id_col, text_col, min_chars, min_words), "line-hashes")
     kind = hashes.schema["id"].dataType.simpleString()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), hashes.rdd.getNumPartitions())
     order = ["h1", "h2", "id", "version", "pos"]
@@ -163,13 +163,13 @@ def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 2, keep_first: bool = True) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 2, keep_first: bool = True, min_words: int = 0) -> DataFrame:
     """(id, version, n_lines, n_dropped, bitmap) of every document that loses a line.
 
     Lines whose key is found in ``min_docs`` documents lose all occurrences, or all but the
-    first by (id, position) with ``keep_first``. ``version`` is the text's hash.
+    first by (id, position) with ``keep_first``; lines under ``min_words`` words stay. ``version`` is the text's hash.
     """
-    lost = dropped_lines(docs, id_col, text_col, min_chars, min_docs, keep_first).groupBy("id", "version").agg(F.collect_list("pos").alias("pos"))
+    lost = dropped_lines(docs, id_col, text_col, min_chars, min_docs, keep_first, min_words).groupBy("id", "version").agg(F.collect_list("pos").alias("pos"))
     size = docs.select(F.col(id_col).alias("id2"), version(text_col).alias("v2"), (F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1).alias("n")).distinct()
     both = size.join(lost.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("version") == F.col("v2"))).select("id", "version", F.col("n").cast("long").alias("n"), "pos")
 

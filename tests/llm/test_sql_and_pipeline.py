@@ -108,3 +108,31 @@ def test_isolated_near_copies_of_the_pipeline(spark):
     assert len(alike) > 250
     kept = {r.doc_id for r in p.near_dedup_stage(spark, docs, "").select("doc_id").collect()}
     assert kept == set(range(600)) - {i + 1 for i in alike}
+
+
+def test_passages_of_few_documents(spark, sf):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = {k: prose(51) for k in range(2, 10)} | {10: prose(5000)}
+    short, rows, first, i = prose(50), [], {}, 0
+    for k, passage in passages.items():
+        first[k] = i
+        for _ in range(min(k, 2) if k == 10 else k):
+            own = prose(200 if k < 10 else 9000)
+            rows.append((i, f"{own[:300]}\n{passage.upper() if i % 2 else passage}\n{own[300:]}"))
+            i += 1
+    rows += [(i, prose(200) + "\n" + short), (i + 1, prose(200) + "\n" + short)]
+    copy = [prose(60) for _ in range(8)]
+    rows += [(i + 2, "\n".join(copy)), (i + 3, "\n".join(copy + [prose(3)]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (p.line_stage, p.near_dedup_stage, p.decontamination_stage):
+        docs = p.cut(stage(spark, docs, sf), "passages")
+    out = {r.doc_id: r for r in docs.collect()}
+    for k, passage in passages.items():
+        assert [d for d in sorted(out) if passage in out[d].text.lower()] == [first[k]]
+    assert sum(short in r.text for r in out.values()) == 2 and all(r.n_chars == len(r.text) for r in out.values())
+    assert set(out) == set(range(i + 3)) and out[i + 2].text == "\n".join(copy)
