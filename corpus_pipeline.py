@@ -34,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id."""
-    found = simhash.near_duplicates(docs, words=5, max_bits=int(FINGERPRINT_BITS * (1 - SIMILARITY)), bits=FINGERPRINT_BITS, tables=TABLES)
+    found = simhash.labelled(docs, words=5, max_bits=int(FINGERPRINT_BITS * (1 - SIMILARITY)), bits=FINGERPRINT_BITS, tables=TABLES)
     return simhash.keep_one(docs, found)
 
 

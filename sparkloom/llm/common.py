@@ -4,13 +4,14 @@ tokenising of Arrow string columns straight from their UTF-8 buffers."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a worker holds in expanded (numpy) form at once; a longer text is taken alone.
@@ -24,20 +25,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, local mode) a temporary folder is chosen and set.
+    Where it is unset under a local master (tests) a temporary folder is chosen and set; a cluster
+    must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return "file://" + base[5:] if base.startswith("file:/") and not base.startswith("file://") else base
 
 
-def small(df: DataFrame, max_rows: int = 1 << 20) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows; beyond that Spark joins it
-    by shuffling. For narrow tables: at a hundred bytes a row the bound is a hundred MB."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("shuffle_hash")
+def small(df: DataFrame, max_rows: int = 1 << 20, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows and their bytes, both counted, are within the bounds;
+    beyond them Spark joins it by shuffling, which can spill and splits hot keys."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+
+
+def version(text_col: str) -> Column:
+    """A hash of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` semi- or anti-joined with ``rows`` (id, version): by id and text, so that neither null nor
+    repeated ids reach other documents. The names don't clash with columns of ``docs``."""
+    there = {x.lower() for x in docs.columns}
+    a, b = (next(x for x in (stem + "_" * i for i in range(len(there) + 1)) if x not in there) for stem in ("row_id", "row_version"))
+    return docs.join(small(rows.toDF(a, b)), docs[id_col].eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(b)), how)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, release
+from .common import cut, read_table, release, version
 
 #: Bytes stripped from both ends of a line.
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -72,10 +72,6 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min
     return ids.mapInArrow(run, f"h1 long, h2 long, id {ids.schema['id'].dataType.simpleString()}, version long, pos int")
 
 
-def version(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def mark(batches, min_docs: int, keep_first: bool):
     """Stream sorted (h1, h2, id, version, pos) rows; yield the rows to drop.
 

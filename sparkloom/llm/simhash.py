@@ -2,9 +2,9 @@
 
 1. Every text's fingerprint is made from XXH64 hashes of its word shingles.
 2. Equal fingerprints collapse to one row, so copies cost nothing further.
-3. Distinct fingerprints meet in tables keyed by two of ``max_bits + 2`` bit blocks: of two
-   fingerprints at ``max_bits`` or fewer differing bits at least two blocks are equal, so
-   no link is lost.
+3. Distinct fingerprints meet in tables keyed by all but ``max_bits`` of the blocks that their bits are
+   cut into: of two fingerprints at ``max_bits`` or fewer differing bits one such key is equal, so no
+   link is lost. More fingerprints make more blocks and so longer keys, and buckets stay small.
 4. Within a table's bucket a pivot distance table holds the Hamming distances to many
    reference fingerprints. By the triangle inequality a pair whose coordinates differ by
    more than ``max_bits`` anywhere can't link: such pairs are discarded coordinate by
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, cut, mix, pieces, read_table, release, runs, utf8
+from .common import LOWER, SPACE, by_row, cut, mix, pieces, read_table, release, runs, utf8, version
 
 #: Rows of one side of a group's comparison.
 BLOCK = 1024
@@ -106,7 +106,7 @@ def word_columns(bits: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, minima: bool = False) -> DataFrame:
-    """(id, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
+    """(id, version, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
     are those of the shingles' hashes, the others of further mixings of the same hashes.
     With ``minima`` also its keys by smallest shingle hashes, none for a text without words."""
     names = word_columns(bits)
@@ -124,13 +124,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in range(len(names)):
                     out[i, row : row + len(ends) - 1] = fold(h, bounds)
                     h = mix(h + np.uint64(2 * i + 1))
-            columns = [batch.column(0), *(pa.array(x.view(np.int64)) for x in out)]
+            columns = [batch.column(0), batch.column(2), *(pa.array(x.view(np.int64)) for x in out)]
             if minima:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n_keys, dtype=np.int32)), pa.array(np.concatenate(keys).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["id", *names, "minima"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "version", *names, "minima"][: len(columns)])
 
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + (", minima array<long>" if minima else ""))
+    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), version(text_col).alias("version"))
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, version long, " + ", ".join(f"{x} long" for x in names) + (", minima array<long>" if minima else ""))
 
 
 def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
@@ -251,6 +251,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
+def block_masks(n_fps: int, max_bits: int, per_bucket: int = 16) -> list[int]:
+    """Masks of the tables' key bits. A key is all but ``max_bits`` of the blocks that 64 bits are cut
+    into, so of two fingerprints at ``max_bits`` or fewer differing bits one key at least is equal. There
+    are as few blocks (two more than ``max_bits`` or more) as leave about ``per_bucket`` fingerprints
+    or fewer to a bucket."""
+    n = max_bits + 2
+    while n < 2 * max_bits and n_fps >> (64 * (n - max_bits) // n) > per_bucket:
+        n += 1
+    edges = [round(i * 64 / n) for i in range(n + 1)]
+    block = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(n)]
+    return [sum(block[i] for i in some) for some in combinations(range(n), n - max_bits)]
+
+
 def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None = None, minima: DataFrame | None = None) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints (fp, w0, ...) at ``max_bits`` or fewer
     differing bits. Without ``tables`` every link is found, by two equal blocks; with them, those
@@ -265,10 +278,7 @@ def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
 
     if tables is None:
-        n = max_bits + 2
-        edges = [round(i * 64 / n) for i in range(n + 1)]
-        masks = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(n)]
-        columns = [F.col("w0").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))) for i, j in combinations(range(n), 2)]
+        columns = [F.col("w0").bitwiseAND(F.lit(_signed(mask))) for mask in block_masks(fps.count(), max_bits)]
         # a key is the hash of table and bits: equal hashes of different ones only add comparisons
         keys = fps.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), c) for t, c in enumerate(columns)])).alias("key"))
         counts = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -316,50 +326,74 @@ def contract(edges: DataFrame) -> DataFrame:
     """Edges (a, b), b < a, that connect the same nodes and are fewer: every node keeps its smallest
     partner, and its others are joined to that one, where most of them meet."""
     least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    return least.select("a", F.col("m").alias("b")).union(least.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    pairs = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+    return pairs.select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """(node, root): the smallest node reachable over undirected ``edges`` (a, b)."""
-    edges = contract(contract(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()))
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{what}-edges")
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{what}-0")
-    for turn in range(1, 200):
+    """(node, root): the smallest node reachable over undirected ``edges`` (a, b). Nodes are of any
+    type with an order. Labels only fall, so the rounds end when none does."""
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    for turn in range(2):
+        was, edges = edges, cut(contract(edges), f"{what}-contracted")
+        if turn:
+            release(was)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.select(ways.alias("e")).select("e.a", "e.b"), f"{what}-edges")
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{what}-labels")
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         step = label.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("r"))
         jump = label.select(F.col("node").alias("r"), F.col("root").alias("rr"))
-        new = cut(step.join(jump, "r", "left").select("node", "was", F.least("r", F.coalesce("rr", "r")).alias("root")), f"{what}-{turn}")
+        new = cut(step.join(jump, "r", "left").select("node", "was", F.least("r", F.coalesce("rr", "r")).alias("root")), f"{what}-labels")
         changed = new.filter("was <> root").limit(1).count()
         release(label)
         label = new.select("node", "root")
         if not changed:
+            release(both)
             return label
-    raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
-    """(id, w0, ..., component_id): component_id is the smallest id reachable over links."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
+    """(id, version, w0, ..., node, root) of every row. A node is a distinct fingerprint, as a struct of
+    the smallest (id, version) of its rows and itself; ids come before nulls, so a component's root
+    holds its smallest id, and no join by component is needed. ``version`` is the text's hash."""
     names = word_columns(bits)
     named = F.col("w0") if bits == 64 else F.xxhash64(*names)
     fp = cut(fingerprints(docs, id_col, text_col, words, bits, tables is not None).withColumn("fp", named), "fingerprints")
-    distinct = fp.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(x).alias(x) for x in names])
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version"))
+    distinct = fp.groupBy("fp").agg(least.alias("x"), *[F.first(x).alias(x) for x in names])
+    distinct = cut(distinct.select("fp", *names, F.struct("x.none", "x.id", "x.version", "fp").alias("node")), "distinct-fingerprints")
     # texts of one fingerprint may differ in shingles, so each brings its keys
     minima = None if tables is None else fp.select("fp", F.explode("minima").alias("key")).distinct()
-    label = components(links(distinct, max_bits, bits, tables, minima))
-    of_root = distinct.select("fp", "least").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of_root.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(of, "fp").select(F.col("id").alias(id_col), *names, "component_id")
-
-
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is their component's smallest; of repeated ids one row stays."""
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi")
-    repeated = kept.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_again"))
-    again = kept.join(repeated, kept[id_col].eqNullSafe(F.col("_again")), "left_semi")
-    once = again.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns)))).filter("_n = 1").drop("_n")
-    return kept.join(repeated, kept[id_col].eqNullSafe(F.col("_again")), "left_anti").unionByName(once)
+    pairs = cut(links(distinct.drop("node"), max_bits, bits, tables, minima), "links")
+    node = distinct.select("fp", "node")
+    named_pairs = pairs.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    label = components(named_pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    of = node.join(label, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    return fp.join(of, "fp").select("id", "version", *names, "node", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, bits: int = 64, tables: int | None = None) -> DataFrame:
+    """(id, w0, ..., component_id): component_id is the smallest id reachable over links."""
+    found = labelled(docs, id_col, text_col, words, max_bits, bits, tables)
+    return found.select(F.col("id").alias(id_col), *word_columns(bits), F.col("root.id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``found`` (its ``labelled`` rows): of its smallest id, and
+    of that id's rows in it the one of the smallest text hash. Rows of other components stay, whatever
+    their ids. Only rows that go, or are there more than once, are looked up."""
+    kept = (F.col("node") == F.col("root")) & F.col("id").eqNullSafe(F.col("root.id")) & (F.col("version") == F.col("root.version"))
+    rows = found.select("id", "version", kept.alias("kept")).groupBy("id", "version").agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    odd = cut(rows.filter("NOT kept OR n > 1"), "not-kept")
+    stay = by_row(docs, odd.select("id", "version"), "left_anti", id_col, text_col)
+    # of equal ids with equal texts one row stays, the one whose columns' hash is least
+    again = by_row(docs, odd.filter("kept").select("id", "version"), "left_semi", id_col, text_col)
+    others = [x for x in docs.columns if x != id_col]
+    least = again.groupBy(F.col(id_col).alias("_1"), version(text_col).alias("_2")).agg(F.min_by(F.struct(*others), F.xxhash64(*docs.columns)).alias("_3"))
+    once = least.select(F.col("_1").alias(id_col), *[F.col("_3").getField(x).alias(x) for x in others]).select(*docs.columns)
+    return stay.unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,9 +142,23 @@ def test_pair_links_lose_none_even_in_split_buckets(spark):
 
 
 def test_keep_one_keeps_one_row_of_each_group(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "zz yy xx ww vv uu"), (None, "q w e r t y u i")], "doc_id long, text string")
-    kept = simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3]
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "zz yy xx ww vv uu"), (None, "q w e r t y u i"), (None, "another text of no id"), (None, "another text of no id"), (4, "one text of id four"), (4, "this one is not like it")]
+    # columns whose names clash with the operator's own
+    docs = spark.createDataFrame([(*r, i, i, i) for i, r in enumerate(rows)], "doc_id long, text string, node int, row_id int, _1 int")
+    kept = simhash.keep_one(docs, simhash.labelled(docs))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted({((i or 0), t) for i, t in rows if i != 2})
+    assert simhash.keep_one(docs.limit(0), simhash.labelled(docs.limit(0))).count() == 0
+
+
+def test_more_fingerprints_make_longer_keys_that_lose_no_link():
+    rng = np.random.default_rng(7)
+    for n, bits in ((1000, 2 * 10), (1 << 30, 3 * 9), (1 << 40, 4 * 8)):  # whole blocks of 64 bits cut in 6, 7 or 8
+        masks = simhash.block_masks(n, 4)
+        assert min(m.bit_count() for m in masks) >= bits
+        for _ in range(300):
+            gap = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+            assert any(not gap & m for m in masks)
 
 
 def test_warc(spark, sf):
