@@ -105,10 +105,11 @@ def word_columns(bits: int) -> list[str]:
     return [f"w{i}" for i in range(bits // 64)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, minima: bool = False) -> DataFrame:
-    """(id, version, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, minima: bool = False, versions: bool = False) -> DataFrame:
+    """(id, w0, w1, ...) of every whole text: 64 bits of its fingerprint a column. The first
     are those of the shingles' hashes, the others of further mixings of the same hashes.
-    With ``minima`` also its keys by smallest shingle hashes, none for a text without words."""
+    With ``minima`` also its keys by smallest shingle hashes, none for a text without words; with
+    ``versions`` also the text's hash."""
     names = word_columns(bits)
 
     def run(batches):
@@ -124,13 +125,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in range(len(names)):
                     out[i, row : row + len(ends) - 1] = fold(h, bounds)
                     h = mix(h + np.uint64(2 * i + 1))
-            columns = [batch.column(0), batch.column(2), *(pa.array(x.view(np.int64)) for x in out)]
+            columns = [batch.column(0), *(pa.array(x.view(np.int64)) for x in out)]
+            if versions:
+                columns.append(batch.column(2))
             if minima:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(n_keys, dtype=np.int32)), pa.array(np.concatenate(keys).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "version", *names, "minima"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["id", *names, *["version"] * versions, *["minima"] * minima])
 
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), version(text_col).alias("version"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, version long, " + ", ".join(f"{x} long" for x in names) + (", minima array<long>" if minima else ""))
+    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", version long" * versions + ", minima array<long>" * minima)
 
 
 def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
@@ -360,7 +363,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     holds its smallest id, and no join by component is needed. ``version`` is the text's hash."""
     names = word_columns(bits)
     named = F.col("w0") if bits == 64 else F.xxhash64(*names)
-    fp = cut(fingerprints(docs, id_col, text_col, words, bits, tables is not None).withColumn("fp", named), "fingerprints")
+    fp = cut(fingerprints(docs, id_col, text_col, words, bits, tables is not None, True).withColumn("fp", named), "fingerprints")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version"))
     distinct = fp.groupBy("fp").agg(least.alias("x"), *[F.first(x).alias(x) for x in names])
     distinct = cut(distinct.select("fp", *names, F.struct("x.none", "x.id", "x.version", "fp").alias("node")), "distinct-fingerprints")
