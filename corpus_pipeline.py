@@ -23,7 +23,7 @@ MIN_PASSAGE_WORDS = 51
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    return quality.keep_sampled(docs, quality.resampled(docs, read_table(spark, sf_dir, "labels")))
+    return quality.keep_sampled(docs, read_table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

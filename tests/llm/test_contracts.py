@@ -329,20 +329,97 @@ def test_quality(spark):
     unlabelled = [i for i in range(600) if i % 2 and i % 5]
     assert all(got[i].kept for i in unlabelled) and got[600].kept and got[601].log_importance == 0.0
     assert not any(got[i].kept for i in range(0, 600, 4))
-    assert quality.keep_sampled(d, quality.resampled(d, lab)).count() == sum(r.kept for r in got.values())
+    assert {r.doc_id for r in quality.keep_sampled(d, lab).collect()} == {i for i, r in got.items() if r.kept}
     none = quality.resampled(d, lab.limit(0)).filter("NOT kept").count()
     assert none == 0
 
 
-def test_ngram_counts_against_plain_ones():
+def plain_quality(rows, labels, spare=0.9999):
+    """{(id, text): (log importance, weight)} and the expected number kept, in plain Python."""
     hasher = quality.SpanHash()
-    data, offsets = quality.utf8(pa.array(["a b!! a", None, "", "b"]))
-    bucket, row, word = quality.ngrams(data, offsets, hasher)
-    assert row.tolist() == [0, 0, 0, 0, 3, 0, 0, 0] and word.tolist() == [0, 1, 2, 3, 4, 0, 1, 2]
-    assert bucket[0] == bucket[3] and bucket[1] == bucket[4] and (bucket[:5] < quality.BUCKETS).all() and (bucket[5:] >= quality.BUCKETS).all()
-    ratio = np.zeros(2 * quality.BUCKETS, np.float32)
-    ratio[bucket[2]] = -3
-    assert quality.worst_windows(ratio, bucket, row, word, 4).tolist() == [-3, 0, 0, 0]
+
+    def grams(text):
+        tokens = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[^\s0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        raw = [t.encode() for t in tokens]
+        h = [int(hasher(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in raw]
+        pairs = [int(quality.mix(np.array([(3 * a + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        again = any(h[i] == h[i + s] == h[i + 2 * s] for s in (1, 2) for i in range(len(h) - 2 * s))
+        return {*h, *pairs, *([7] if again else [])}
+
+    of = [grams(t) for _, t in rows]
+    good = {i for i, _ in rows if i is not None and [x for x in labels if x[0] == i] and all(q == 1 and not x for j, q, x in labels if j == i)}
+    count = {}
+    for (i, _), g in zip(rows, of):
+        for h in g:
+            for bucket in (h % quality.BUCKETS, quality.BUCKETS + (h >> 24) % quality.BUCKETS):
+                count.setdefault(bucket, [0, 0])[0] += 1
+                count[bucket][1] += i in good
+    share, ratio = sum(i in good for i, _ in rows) / len(rows), {}
+    least = next(t / 4 for t in range(200) if sum(raw * share >= t / 4 for raw, _ in count.values()) * math.exp(-t / 4) <= 1)
+    for b, (raw, g) in count.items():
+        e = raw * share
+        if g < e and e - g + (g * math.log(g / e) if g else 0) > least:
+            ratio[b] = math.log((g + 0.5) / (e + 0.5))
+    out = {}
+    for row, g in zip(rows, of):
+        out[row] = sum(max(ratio.get(h % quality.BUCKETS, 0), ratio.get(quality.BUCKETS + (h >> 24) % quality.BUCKETS, 0)) for h in g)
+    return out, sum(1 - (1 - spare) ** math.exp(out[r]) for r in rows)
+
+
+def test_quality_against_a_plain_one(spark):
+    rng = random.Random(12)
+    words = "river stone light walks deep green and the of over".split()
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(words) + rng.choice(["", "", ",", "x", "é"]) for _ in range(rng.randint(1, 60))]
+        if i % 6 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["scum", "odd", "§§"])
+        if i % 10 == 0:
+            w += ["on"] * 5
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 10 > 0), int(i % 6 == 0)))
+    rows += [(900, None), (901, ""), (None, "scum of a text"), (None, "river"), (0, "another text of id 0"), *rows[1:4]]
+    labels += [(1, 1, None), (2, None, 0), (None, 0, 0)]
+    docs = spark.createDataFrame([(*r, 0.5, True, 1) for r in rows], "doc_id long, text string, log_importance double, kept boolean, _good int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want, k = plain_quality(rows, [x for x in labels if x[0] is not None and x[1] is not None])
+    assert len({round(x, 3) for x in want.values()}) > 5
+    got = quality.resampled(docs, lab).collect()
+    assert sorted((str(r.doc_id), round(r.log_importance, 2)) for r in got) == sorted((str(r[0]), round(want[r], 2)) for r in rows)
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert {r.kept for r in got} == {True, False} and sum(r.kept for r in got) >= math.ceil(k)
+    assert all(r.kept == (r.gumbel_key >= keys[math.ceil(k) - 1]) for r in got)
+    stay = quality.keep_sampled(docs, lab)
+    assert stay.columns == docs.columns and stay.count() == sum(r.kept for r in got)
+
+
+def test_the_noise_decides_and_the_sample_nears_the_target(spark):
+    """Documents of middling weight are kept as often as importance resampling says, and n-grams that the
+    target lacks are rarer among the documents kept than among all."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(400)]  # so many that no pair with "rare" is frequent
+    rows, labels = [], []
+    for i in range(6000):
+        odd = i % 5 == 0
+        rows.append((i, " ".join([rng.choice(words) for _ in range(12)] + ["rare"] * odd)))
+        labels.append((i, int(not odd or i % 25 == 0), 0))  # the target holds a fifth of them
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.resampled(docs, lab, spare=0.99).collect()}
+    some = [r for i, r in got.items() if i % 5 == 0]
+    weight = math.exp(some[0].log_importance)
+    assert 0.1 < weight < 0.5 and all(r.log_importance == some[0].log_importance for r in some)
+    kept = sum(r.kept for r in some) / len(some)
+    assert abs(kept - (1 - 0.01**weight)) < 0.04 and 0.05 < kept < 0.95
+    assert all(r.log_importance == 0 for i, r in got.items() if i % 5)
+    share = sum(r.kept for r in some) / sum(r.kept for r in got.values())
+    assert share < 0.9 * 0.2
+
+
+def test_labels_beyond_the_bound_are_a_sample(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'a' AS text")
+    lab = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    n = quality.with_labels(docs, lab, "doc_id", max_labels=1000).filter("_good IS NOT NULL").count()
+    assert 850 < n < 1150
 
 
 def test_kth_largest_is_exact(spark):
