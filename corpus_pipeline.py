@@ -40,8 +40,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, without long lines that repeat across them."""
-    found = decontaminate.contained_items(docs, read_table(spark, sf_dir, "benchmark"))
-    clean = cut(decontaminate.drop_contaminated(docs, found), "clean")
+    clean = cut(decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark")), "clean")
     maps = line_dedup.keep_bitmaps(clean, min_docs=2, keep_first=True, min_words=MIN_PASSAGE_WORDS)
     return line_dedup.drop_lines(clean, maps).withColumn("n_chars", F.length("text").cast("long"))
 

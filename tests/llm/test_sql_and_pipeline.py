@@ -43,7 +43,25 @@ def test_contained_items(spark):
     items = spark.createDataFrame([(7, item), (7, item), (8, "four words are short"), (9, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontaminate.contained_items(docs, items).collect()}
     assert got == {(1, 7): (20, 20), (2, 7): (20, 16), (None, 7): (20, 20), (6, 7): (20, 20)}
-    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(docs, decontaminate.contained_items(docs, items)).collect()) == ["3", "4"]
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(docs, items).collect()) == ["3", "4"]
+
+
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "x FOUR words, are short y"), (2, "four words are long"), (3, "one"), (4, "words are"), (5, "a pair of five words here now")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "four words are short"), (2, "One!"), (3, "are short"), (4, " ... "), (5, "pair of five words here")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shingles) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(1, 1, 1), (3, 2, 1), (1, 3, 1), (5, 5, 1)}
+    assert decontaminate.contained_items(docs, items.filter("item_id = 4")).count() == 0
+
+
+def test_contaminated_rows_go_alone_whatever_their_ids(spark):
+    item = "one two three four five six seven"
+    rows = [(1, item), (1, "clean text of id one"), (None, "x " + item), (None, "clean text of no id"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, row_id int, v int, doc int")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    out = decontaminate.drop_contaminated(docs, items)
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in out.collect()} == {rows[1], *rows[3:]}
 
 
 def test_raking_meets_the_targets(spark):
