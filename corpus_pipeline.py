@@ -48,7 +48,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample of calibrated probabilities, with each document's probability."""
     found = mixing.mixed(mixing.measured(docs))
-    return found.filter("_kept").select(*docs.columns, F.col("_topic").alias("topic"), F.col("_probability").alias("probability"))
+    cell, probability, kept = (F.col(x) for x in found.columns[-3:])
+    more = [x.alias(mixing.fresh(docs, name)) for name, x in (("topic", cell.getField("topic")), ("probability", probability))]
+    return found.filter(kept).select(*docs.columns, *more)
 
 
 STAGES = [

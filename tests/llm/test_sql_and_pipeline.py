@@ -67,10 +67,49 @@ def test_contaminated_rows_go_alone_whatever_their_ids(spark):
 def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame([("a", "en", "p", 100), ("a", "de", "p", 50), ("b", "en", "p", 10), ("b", "de", "q", 40), ("a", "en", "q", 30)], "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"p": 0.7, "q": 0.3}}
-    out = mixing.rake(cells, targets, rounds=60).collect()
+    out = mixing.rake(cells, targets, fraction=0.2, tolerance=1e-3, rounds=60).collect()
+    assert all(0 <= r.weight <= r.tokens for r in out)
     for i, dim in enumerate(("source", "lang", "topic")):
         for value, share in targets[dim].items():
-            assert abs(sum(r.weight for r in out if r[i] == value) / 230 - share) < 1e-3
+            assert abs(sum(r.weight for r in out if r[i] == value) / (0.2 * 230) - share) < 1e-3
+
+
+def test_what_a_margin_lacks_is_spread_over_the_others(spark):
+    """Plain bounded raking in Python gives the same, where one source has less than is wanted of it."""
+    import random
+
+    rng = random.Random(4)
+    cells = [(s, x, t, rng.randint(1, 2000) if s != "tiny" else 3) for s in ("hot", "a", "b", "tiny") for x in ("en", "de") for t in ("p", "q", "r")]
+    cells = [(s, x, t, n * 30 if s == "hot" else n) for s, x, t, n in cells]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"hot": 0.7, "a": 0.1, "b": 0.1, "tiny": 0.1}}
+    got = {tuple(r[:3]): r.weight for r in mixing.rake(df, targets, fraction=0.1, tolerance=1e-4, rounds=50).collect()}
+    total = sum(n for *_, n in cells)
+    have = {s: sum(n for c, _, _, n in cells if c == s) for s in targets["source"]}
+    rest = (0.1 * total - have["tiny"]) / 0.9
+    want = {s: have[s] if s == "tiny" else share * rest for s, share in targets["source"].items()}
+    for s, w in want.items():
+        assert abs(sum(v for k, v in got.items() if k[0] == s) / w - 1) < 2e-3
+    for i in (1, 2):  # tempered shares of the other margins
+        by = {v: sum(c[3] for c in cells if c[i] == v) for v in {c[i] for c in cells}}
+        for v, n in by.items():
+            share = n**mixing.ALPHA / sum(m**mixing.ALPHA for m in by.values())
+            assert abs(sum(x for k, x in got.items() if k[i] == v) / (share * 0.1 * total) - 1) < 2e-3
+    assert sum(v for k, v in got.items() if k[0] == "tiny") > 0.99 * have["tiny"]
+
+
+def test_sampled_margins_come_near_the_targets(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30) + ["!!"] * (i % 7 == 0)), rng.choice(["en", "en", "de", None]), rng.choice(["hot", "hot", "hot", "a", "b"])) for i in range(12_000)]
+    docs = spark.createDataFrame([(*r, "x", 1, True, 0.5) for r in rows], "doc_id long, text string, lang string, source string, topic string, cell int, kept boolean, probability double")
+    found = mixing.mixed(mixing.measured(docs), fraction=0.6)
+    assert found.columns[: len(docs.columns)] == docs.columns and found.count() == docs.count()
+    margins = mixing.achieved(found, fraction=0.6).collect()
+    assert {r.dimension for r in margins} == {"source", "lang", "topic"} and "" in {r.value for r in margins}
+    for r in margins:
+        assert abs(r.expected / r.want - 1) <= 1.1 * mixing.TOLERANCE and abs(r.sampled / r.want - 1) < 0.06
 
 
 def test_pipeline_stages(spark, sf):
