@@ -33,16 +33,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
+    """One document of each group of near copies: the one of the smallest id. Of long lines that repeat
+    across the documents left all but the first go."""
     found = simhash.labelled(docs, words=5, max_bits=int(FINGERPRINT_BITS * (1 - SIMILARITY)), bits=FINGERPRINT_BITS, tables=TABLES)
-    return simhash.keep_one(docs, found)
+    kept = cut(simhash.keep_one(docs, found), "kept")
+    maps = line_dedup.keep_bitmaps(kept, min_docs=2, keep_first=True, min_words=MIN_PASSAGE_WORDS)
+    return line_dedup.drop_lines(kept, maps).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, without long lines that repeat across them."""
-    clean = cut(decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark")), "clean")
-    maps = line_dedup.keep_bitmaps(clean, min_docs=2, keep_first=True, min_words=MIN_PASSAGE_WORDS)
-    return line_dedup.drop_lines(clean, maps).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

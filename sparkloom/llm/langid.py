@@ -8,8 +8,8 @@ Marginal probabilities of the labels come from forward-backward over the whole t
 texts are cut into segments whose transfer matrices are chained first, so every segment runs
 with exact messages from both sides, all segments of a batch at once.
 
-Training: the lexicon covers all training documents. The weights are fitted on at most
-``SAMPLE_DOCS`` documents a language, of each at most ``SAMPLE_WINDOWS`` windows of
+Training: the lexicon covers all training documents. The weights are fitted on the ``SAMPLE_DOCS``
+distinct texts of the smallest hashes of each language, of each at most ``SAMPLE_WINDOWS`` windows of
 ``SAMPLE_WORDS`` words spread evenly over its whole text; windows of different languages are
 joined to teach switching. Only text and lang of rows that are not held out are read.
 
@@ -24,10 +24,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix, pieces, read_table, runs, utf8
+from .common import SpanHash, cut, mix, pieces, read_table, runs, small, utf8
 
 #: Bounds of the sample that fits the weights.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_WORDS = 400, 4, 32
@@ -85,6 +85,16 @@ class Model:
         self.step = np.where(np.eye(k, dtype=bool), 0.0, -3.0).astype(np.float32)
         self.start = np.zeros(k, np.float32)
 
+    def arrays(self) -> tuple:
+        """What makes up the model, without its class: this is what tasks are sent."""
+        return self.languages, self.odds, self.feature, self.scale, self.step, self.start
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Model:
+        model = cls.__new__(cls)
+        model.languages, model.odds, model.feature, model.scale, model.step, model.start = arrays
+        return model
+
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Scores (spans x K); each distinct word is scored once."""
         _, index, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -264,10 +274,24 @@ def lexicon(train: DataFrame) -> DataFrame:
     return train.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def sample_docs(train: DataFrame, per_lang: dict[str, int]) -> DataFrame:
+    """Rows (text, lang) of the ``SAMPLE_DOCS`` texts of the smallest hashes of each language. Copies of a
+    text count once, and the choice depends on the texts alone."""
+    # a language's sample lies, but for chances under 1e-9, below this share of all hashes: others needn't be ranked
+    share = F.create_map(*[F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / max(n, 1)))])
+    hashed = train.select("text", "lang", F.xxhash64("text").alias("h")).withColumn("u", F.shiftrightunsigned("h", 11) / float(1 << 53))
+    few = cut(hashed.filter(F.col("u") < F.element_at(share, F.col("lang"))).select("lang", "h").distinct(), "sampled-texts")
+    count = {r.lang: r["count"] for r in few.groupBy("lang").count().collect()}
+    if any(count.get(lang, 0) < SAMPLE_DOCS < n for lang, n in per_lang.items()):  # many copies: rank them all
+        few = cut(hashed.select("lang", "h").distinct(), "sampled-texts")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    chosen = few.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).select("lang", "h")
+    rows = train.withColumn("h", F.xxhash64("text")).join(small(chosen), ["lang", "h"], "left_semi")
+    return rows.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
+
+
 def sample_windows(train: DataFrame, per_lang: dict[str, int]) -> list[tuple[str, list[str]]]:
-    """(lang, words) of the bounded sample; its documents are picked by a hash of the text."""
-    rate = F.create_map(*[F.lit(x) for lang, n in per_lang.items() for x in (lang, min(1.0, SAMPLE_DOCS / max(n, 1)))])
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    """(lang, words) of the bounded sample: SAMPLE_DOCS * SAMPLE_WINDOWS a language at most."""
 
     def run(batches):
         for batch in batches:
@@ -284,9 +308,8 @@ def sample_windows(train: DataFrame, per_lang: dict[str, int]) -> list[tuple[str
                         out.append((langs[first + r], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at:to].tolist(), stops[at:to].tolist())]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.string()))], ["lang", "words"])
 
-    some = train.filter(u < F.element_at(rate, F.col("lang"))).select("text", "lang")
-    bound = 2 * SAMPLE_DOCS * SAMPLE_WINDOWS * len(per_lang)
-    return sorted((r.lang, list(r.words)) for r in some.mapInArrow(run, "lang string, words array<string>").limit(bound).collect())
+    some = sample_docs(train, per_lang)
+    return sorted((r.lang, list(r.words)) for r in some.mapInArrow(run, "lang string, words array<string>").collect())
 
 
 def train_model(train: DataFrame) -> Model | None:
@@ -346,10 +369,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches):
-        model, hasher = sent.value, SpanHash()
+        model, hasher = Model.of(sent.value), SpanHash()
         names = np.array(model.languages, object)
         for batch in batches:
             mean, n = label_texts(model, batch.column(1), hasher)

@@ -26,6 +26,8 @@ their rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from .common import SpanHash, mix, pieces, read_table, runs, utf8
 GRAM, WINNOW = 4, 4
 #: Words by which text and template may shift against each other within one match.
 BAND = 8
-#: Words of all templates together that are sent to every task.
+#: Words of templates that are sent to a task at once; more are scanned for in parts.
 MAX_TEMPLATE_WORDS = 1 << 20
 
 #: Notices as their licences word them.
@@ -117,8 +119,6 @@ class Index:
         for name in self.names:
             found = [h for *_, h, _ in word_hashes(pa.array([templates[name]]), hasher)]
             self.words.append(np.concatenate(found) if found else np.zeros(0, np.uint64))
-        if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
-            raise ValueError("templates are too large to send to every task; scan with parts of them")
         rows: dict[int, list] = {}
         for t, w in enumerate(self.words):
             if len(w):
@@ -132,6 +132,16 @@ class Index:
             key, template, position = zip(*found)
             self.by_gram[gram] = np.array(key, np.uint64), np.array(template, np.int64), np.array(position, np.int64)
 
+    def arrays(self) -> tuple:
+        """What makes up the index, without its class: this is what tasks are sent."""
+        return self.names, self.words, self.by_gram
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Index:
+        index = cls.__new__(cls)
+        index.names, index.words, index.by_gram = arrays
+        return index
+
     def hits(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, place in text, template, position in template) of every posting met by the word
         hashes of rows."""
@@ -231,17 +241,23 @@ def scan_text(index: Index, words: np.ndarray, place: np.ndarray, template: np.n
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", min_coverage: float = 0.8) -> DataFrame:
     """(id, template, matched_words, template_words, coverage, span_start, span_end) of every
     match; spans count code points of the text, the end exclusive."""
-    index = Index(templates, min_coverage)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    names = sorted(templates)
+    size = np.cumsum([len(templates[x].split()) for x in names])
+    parts = [dict(some) for _, some in groupby(((x, templates[x]) for x in names), key=lambda item: int(size[names.index(item[0])]) // MAX_TEMPLATE_WORDS)]
+    if len(parts) > 1:
+        return reduce(DataFrame.unionAll, [scan(docs, part, id_col, text_col, min_coverage) for part in parts])
+    sent = docs.sparkSession.sparkContext.broadcast(Index(templates, min_coverage).arrays())
 
     def run(batches):
-        index, hasher = sent.value, SpanHash()
+        index, hasher = Index.of(sent.value), SpanHash()
         for batch in batches:
             found = []
             for first, part, ends, starts, stops, h, bounds in word_hashes(batch.column(1), hasher):
                 row, place, template, position = index.hits(h, bounds)
+                by_row = np.argsort(row, kind="stable")
+                row, place, template, position = row[by_row], place[by_row], template[by_row], position[by_row]
                 for r in np.unique(row).tolist():
-                    own = row == r
+                    own = slice(*np.searchsorted(row, [r, r + 1]).tolist())
                     base, top = int(bounds[r]), int(bounds[r + 1])
                     matches = scan_text(index, h[base:top], place[own] - base, template[own], position[own], min_coverage)
                     if matches:

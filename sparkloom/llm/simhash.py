@@ -327,10 +327,9 @@ def links(fps: DataFrame, max_bits: int = 4, bits: int = 64, tables: int | None
 
 def contract(edges: DataFrame) -> DataFrame:
     """Edges (a, b), b < a, that connect the same nodes and are fewer: every node keeps its smallest
-    partner, and its others are joined to that one, where most of them meet."""
+    partner m, and each other partner b is joined to m, where most of them meet."""
     least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    pairs = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-    return pairs.select("e.a", "e.b").filter("a <> b").distinct()
+    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:

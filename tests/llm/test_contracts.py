@@ -477,6 +477,47 @@ def test_language_id(spark):
     assert labels[:10] == ["en"] * 10 and labels[-10:] == ["de"] * 10
 
 
+def test_the_sample_is_the_smallest_hashes_of_each_language(spark):
+    rows = [(f"text {i}", "en" if i % 3 else "de") for i in range(3000)] + [("a very common text", "en")] * 4000 + [("few", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    per_lang = {"en": 6000, "de": 1000, "fr": 1}
+    got = {(r.lang, r.text) for r in langid.sample_docs(df, per_lang).collect()}
+    top = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) >> 11, t)
+    want = {(x, t) for x in ("en", "de") for t in sorted({t for t, lang in rows if lang == x}, key=top)[: langid.SAMPLE_DOCS]} | {("fr", "few")}
+    assert got == want
+
+
+def test_operators_run_where_workers_lack_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = tmp_path / "alone.py"
+    script.write_text(f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.range(1).rdd.map(lambda x: 1).collect()  # workers start before the path is known
+sys.path.insert(0, {root!r})
+from sparkloom.llm import langid, license_scan, quality, simhash, token_counts
+docs = spark.createDataFrame([(i, "Released under the MIT License. the text " + w) for i, w in enumerate(["one", "two", "ein", "zwei"])], "doc_id long, text string")
+train = docs.selectExpr("text", "if(doc_id < 2, 'en', 'de') AS lang")
+print("ROWS", license_scan.scan(docs).count(), langid.predict(docs, langid.train_model(train)).count(), quality.resampled(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).count(), simhash.near_duplicates(docs).count(), token_counts.token_counts(docs).count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 4 4 4 4 4" in out.stdout, out.stderr[-2000:]
+
+
+def test_templates_beyond_the_bound_are_scanned_for_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(license_scan.TEMPLATES.values()))], "doc_id long, text string")
+    rows = lambda: sorted(license_scan.scan(docs).collect())
+    want = rows()
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATE_WORDS", 40)
+    assert rows() == want and len(want) >= len(license_scan.TEMPLATES)
+
+
 def test_language_held_out_fold(spark, sf):
     path, texts = sf
     got = by_id(langid.query(spark, path).collect())
