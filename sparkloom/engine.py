@@ -76,20 +76,27 @@ class Corpus:
     def grep(self, pattern: str, per_file: int | None = None) -> DataFrame:
         return S.enclosing(S.grep(self.lines().select("file_id", "line_no", "text"), pattern, per_file), self._spans())
 
-    def grep_all(self, pattern: str, max_hits: int = 200) -> DataFrame:
-        return S.grep(self.lines(), pattern).orderBy("file_id", "line_no").limit(max_hits)
+    def grep_all(self, pattern: str, max_hits: int = 200, file_glob: str = "") -> DataFrame:
+        lines = self.lines().filter(F.col("file_id").rlike(T.glob_pattern(file_glob))) if file_glob else self.lines()
+        return S.grep(lines, pattern).orderBy("file_id", "line_no").limit(max_hits)
 
     def find_missing(self, have: str, lack: str, scope: str = "") -> DataFrame:
         return G.have_lack(self.symbols.withColumnRenamed("symbol_type", "type").withColumn("keywords", T.name_keywords("name")), have, lack, scope)
 
-    def dead_exports(self, prefix: str = "", min_span: int = 0, limit: int = 60) -> DataFrame:
-        named = X.imported_names(X.lines_of(self.files))
-        dead = A.dead_by_name(self.symbols, named.select("name"))
+    def _resolved(self, targets: DataFrame) -> DataFrame:
+        return G.resolve_imports(targets, self.files.select("path")).filter("resolved IS NOT NULL")
+
+    def dead_exports(self, prefix: str = "", min_span: int = 0, limit: int = 60, symbol_type: str = "") -> DataFrame:
+        whole = self._resolved(X.wildcard_imports(self.files)).select(F.col("resolved").alias("path")).distinct()
+        dead = A.dead_by_name(self.symbols, X.imported_names(self.files)).join(whole, "path", "left_anti")
+        if symbol_type:
+            dead = dead.filter(F.col("symbol_type") == symbol_type)
         return dead.filter(F.col("path").startswith(prefix) & (F.col("line_end") - F.col("line_start") >= min_span)).orderBy("path", "line_start").limit(limit)
 
-    def find_cycles(self, limit: int = 20) -> DataFrame:
-        resolved = G.resolve_imports(self.edges.filter(F.col("rel").isin("imports", "requires")).select("src", F.col("dst").alias("target")), self.files.select("path"))
-        return G.cycles(G.scc(resolved.filter("resolved IS NOT NULL").select("src", F.col("resolved").alias("dst"))), limit)
+    def find_cycles(self, limit: int = 20, file_prefix: str = "") -> DataFrame:
+        inside = self.edges.filter(F.col("rel").isin("imports", "requires") & F.col("src").startswith(file_prefix))
+        resolved = self._resolved(inside.select("src", F.col("dst").alias("target"))).filter(F.col("resolved").startswith(file_prefix))
+        return G.cycles(G.scc(resolved.select("src", F.col("resolved").alias("dst"))), limit)
 
     def debug(self, error: str, radius: int = 3) -> DataFrame:
         """Files near a stack trace's frames, by score."""

@@ -41,21 +41,27 @@ SYMBOL_PATTERNS = [
     ("php", "utility", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)", None),
     ("php", "model", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait|enum)\s+(\w+)", None),
 ]
-#: (language, pattern whose group 1 is the target)
+#: (language, relation, pattern of a statement over whole texts, pattern of its targets in group 1)
 IMPORT_PATTERNS = [
-    ("js", r"^\s*import\s+(?:[^'\"]*\s+from\s+)?['\"]([^'\"]+)['\"]"), ("js", r"^\s*export\s+[^'\"]*\s+from\s+['\"]([^'\"]+)['\"]"), ("js", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-    ("python", r"^\s*from\s+([.\w]+)\s+import\b"), ("python", r"^\s*import\s+([\w.]+)"),
-    ("go", r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./\-]+)\"\s*$"), ("rust", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), ("rust", r"^\s*extern\s+crate\s+(\w+)"),
-    ("cpp", r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"), ("swift", r"^\s*import\s+(\w+)"),
+    ("js", "imports", r"\bimport\s+(?:[\w$*{][^'\";]*?\sfrom\s*)?['\"][^'\"\n]+['\"]", r"['\"]([^'\"\n]+)['\"]$"),
+    ("js", "imports", r"\bexport\s+(?:type\s+)?[*{][^'\";]*?\sfrom\s*['\"][^'\"\n]+['\"]", r"['\"]([^'\"\n]+)['\"]$"),
+    ("js", "requires", r"\brequire\(\s*['\"][^'\"\n]+['\"]\s*\)", r"['\"]([^'\"]+)['\"]"),
+    ("python", "imports", r"(?m)^[ \t]*from\s+[.\w]+\s+import\b", r"from\s+([.\w]+)"),
+    ("python", "imports", r"(?m)^[ \t]*import\s+[\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*", r"(?:import|,)\s*([\w.]+)"),
+    ("go", "imports", r"(?m)^import\s*(?:\([^)]*\)|(?:[\w.]+\s+)?\"[^\"\n]+\")", r"\"([^\"\n]+)\""),
+    ("rust", "imports", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+[\w:]*\w", r"use\s+([\w:]+)$"),
+    ("rust", "imports", r"(?m)^[ \t]*extern\s+crate\s+\w+", r"crate\s+(\w+)"),
+    ("cpp", "imports", r"(?m)^[ \t]*#\s*include\s*[<\"][^>\"\n]+[>\"]", r"[<\"]([^>\"]+)[>\"]"),
+    ("swift", "imports", r"(?m)^[ \t]*import\s+\w+", r"import\s+(\w+)"),
 ]
 FRAME_PATTERNS = [
     ("python", r"File \"([^\"]+)\", line (\d+), in (\S+)"), ("js", r"at (?:[^(]*\()?((?:[A-Za-z]:)?[^():\s]+):(\d+):\d+\)?()"), ("go", r"^\s+(\S+\.go):(\d+)()"), ("generic", r"([\w./\-]+\.\w{1,5}):(\d+)()"),
 ]
 
 
-def scannable(path) -> F.Column:
+def scannable(path, skip: list[str] | None = None) -> F.Column:
     """Whether a path is read at all: a known suffix and no skipped directory."""
-    return T.suffix(path).isin(SCAN_SUFFIXES) & ~F.arrays_overlap(F.split(T.col(path), "/"), F.array(*map(F.lit, SKIP_DIRS)))
+    return T.suffix(path).isin(SCAN_SUFFIXES) & ~F.arrays_overlap(F.split(T.col(path), "/"), F.array(*map(F.lit, SKIP_DIRS if skip is None else skip)).cast("array<string>"))
 
 
 def language(path) -> F.Column:
@@ -79,55 +85,67 @@ def declarations(lines: DataFrame) -> DataFrame:
     return rows.filter(~private)
 
 
-def block_ends(lines: DataFrame, decls: DataFrame) -> DataFrame:
+def block_ends(files: DataFrame, lines: DataFrame, decls: DataFrame) -> DataFrame:
     """Declarations with line_end. Braces: the first line from the declaration on where as many
-    have closed as opened, at most 400 lines on; Python: the line before the next one that
-    begins at the left margin."""
-    opens = F.regexp_count("text", F.lit(r"\{"))
-    closes = F.regexp_count("text", F.lit(r"\}"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    depth = lines.withColumn("depth", F.sum(opens - closes).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("opens", opens)
-    first = depth.select("path", "line_no", (F.col("depth") - (opens - closes)).alias("base"))
-    d = decls.join(first, ["path", "line_no"])
-    body = depth.select(F.col("path").alias("p2"), F.col("line_no").alias("n2"), F.col("depth").alias("d2"), F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("o2"))
-    opened = depth.select("path", "line_no", (F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("opens")).alias("o1"))
-    near = (F.col("p2") == F.col("path")) & (F.col("n2") >= F.col("line_no")) & (F.col("n2") < F.col("line_no") + MAX_BODY_LINES)
-    braces = d.filter("lang <> 'python'").join(opened, ["path", "line_no"]).join(body, near).groupBy("path", "line_no").agg(F.min(F.when((F.col("o2") > F.col("o1")) & (F.col("d2") <= F.col("base")), F.col("n2"))).alias("line_end"))
-    margin = lines.filter("lang = 'python'").select(F.col("path").alias("p2"), F.col("line_no").alias("n2"), "text").filter(F.col("text").rlike(r"^[^\s#)\]}]"))
-    last = lines.groupBy(F.col("path")).agg(F.max("line_no").alias("last"))
-    indent = d.filter("lang = 'python'").join(margin, (F.col("p2") == F.col("path")) & (F.col("n2") > F.col("line_no")), "left").groupBy("path", "line_no").agg((F.min("n2") - 1).alias("line_end"))
-    ends = braces.unionByName(indent)
-    return decls.join(ends, ["path", "line_no"], "left").join(last, "path").withColumn("line_end", F.coalesce(F.col("line_end"), F.least(F.col("last"), F.when(F.col("lang") == "python", F.col("last")).otherwise(F.col("line_no") + 100)))).drop("last")
+    have closed as opened, at most 400 lines on, found by a fold over those lines of the file's
+    own array; else 100 lines on. Python: the line before the next one that begins at the left margin."""
+    text = files.select("path", T.text_lines("content").alias("_ls"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(None).cast("int").alias("end"))
+
+    def step(acc, line):
+        opens = F.regexp_count(line, F.lit(r"\{"))
+        depth, opened = acc.depth + opens - F.regexp_count(line, F.lit(r"\}")), acc.open | (opens > 0)
+        end = F.when(opened & (depth <= 0), acc.i)
+        return F.when(acc.end.isNotNull(), acc).otherwise(F.struct((acc.i + 1).alias("i"), depth.alias("depth"), opened.alias("open"), end.alias("end")))
+
+    margin = lines.filter((F.col("lang") == "python") & F.col("text").rlike(r"^[^\s#)\]}]"))
+    after = margin.select("path", "line_no", (F.lead("line_no").over(Window.partitionBy("path").orderBy("line_no")) - 1).alias("_next"))
+    rows = decls.join(after, ["path", "line_no"], "left").join(text, "path")
+    braces = F.col("line_no") + F.reduce(F.slice("_ls", F.col("line_no"), F.lit(MAX_BODY_LINES)), start, step).getField("end")
+    last = F.size("_ls")
+    end = F.when(F.col("lang") == "python", F.coalesce("_next", last)).otherwise(F.coalesce(braces, F.least(last, F.col("line_no") + 100)))
+    return rows.withColumn("line_end", end.cast("int")).withColumn("body_hash", T.body_hash(F.array_join(F.slice("_ls", F.col("line_no"), F.col("line_end") - F.col("line_no") + 1), "\n"))).drop("_ls", "_next")
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """(id, path, name, symbol_type, exported, line_start, line_end, body_hash) of every file; a name
     declared twice in a file is its first declaration."""
     lines = lines_of(files)
-    d = block_ends(lines, declarations(lines))
-    once = d.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy("line_no"))).filter("_n = 1").drop("_n")
-    text = files.select("path", T.text_lines("content").alias("ls"))
-    body = F.array_join(F.slice("ls", F.col("line_no"), F.col("line_end") - F.col("line_no") + 1), "\n")
-    return once.join(text, "path").select(F.concat_ws("::", "path", "name").alias("id"), "path", "name", "symbol_type", "exported", F.col("line_no").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), T.body_hash(body).alias("body_hash"))
-
-
-def imports(lines: DataFrame) -> DataFrame:
-    """(src, dst, rel): import targets as written, each once a file."""
-    rel = lambda p: F.lit("requires" if "require" in p else "imports").alias("rel")
-    parts = [lines.filter((F.col("lang") == lang) & F.col("text").rlike(p)).select(F.col("path").alias("src"), F.regexp_extract("text", p, 1).alias("dst"), rel(p)) for lang, p in IMPORT_PATTERNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter("dst <> ''").distinct()
-
-
-def imported_names(lines: DataFrame) -> DataFrame:
-    """(src, name, wildcard): names that files import from elsewhere."""
-    js = lines.filter((F.col("lang") == "js") & F.col("text").rlike(r"^\s*(?:import|export)\s+.*\bfrom\b")).select(F.col("path").alias("src"), F.regexp_extract("text", r"\{([^}]*)\}", 1).alias("list"), F.col("text").rlike(r"\*").alias("wildcard"))
-    py = lines.filter((F.col("lang") == "python") & F.col("text").rlike(r"^\s*from\s+[.\w]+\s+import\s")).select(F.col("path").alias("src"), F.regexp_extract("text", r"import\s+\(?([^)#]*)", 1).alias("list"), F.col("text").rlike(r"import\s+\*").alias("wildcard"))
-    both = js.unionByName(py)
-    name = F.trim(F.regexp_replace(F.col("n"), r"\s+as\s+.*$", ""))
-    return both.select("src", "wildcard", F.explode(F.split("list", ",")).alias("n")).select("src", name.alias("name"), "wildcard").filter("name <> '' OR wildcard").distinct()
+    found = declarations(lines)
+    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("path", "name").orderBy("line_no"))).filter("_n = 1").drop("_n")
+    return block_ends(files, lines, once).select(F.concat_ws("::", "path", "name").alias("id"), "path", "name", "symbol_type", "exported", F.col("line_no").alias("line_start"), "line_end", "body_hash")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(src, dst, rel): import targets as written, each once a file. Statements may span lines, so they
+    are looked for in whole texts, all patterns in one pass."""
+    none = F.array().cast("array<struct<dst:string,rel:string>>")
+    found = []
+    for lang, rel, statement, target in IMPORT_PATTERNS:
+        targets = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(statement), F.lit(0)), lambda s: F.regexp_extract_all(s, F.lit(target), F.lit(1))))  # noqa: B023
+        found.append(F.when(F.col("_lang") == lang, F.transform(targets, lambda t: F.struct(t.alias("dst"), F.lit(rel).alias("rel")))).otherwise(none))  # noqa: B023
+    rows = files.withColumn("_lang", language("path")).filter("content IS NOT NULL").select(F.col("path").alias("src"), F.explode(F.concat(*found)).alias("x"))
+    return rows.select("src", "x.dst", "x.rel").filter("dst <> ''").distinct()
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(src, name): names that files import from elsewhere or hand on, over whole texts."""
+    rows = files.withColumn("_lang", language("path")).filter("content IS NOT NULL")
+    js = F.regexp_extract_all("content", F.lit(r"\b(?:import|export)\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\b"), F.lit(1))
+    py = F.concat(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from\s+[.\w]+\s+import\s*\(([^)]*)\)"), F.lit(1)), F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from\s+[.\w]+\s+import[ \t]+([^\n(]+)"), F.lit(1)))
+    lists = F.when(F.col("_lang") == "js", js).when(F.col("_lang") == "python", py)
+    part = rows.select(F.col("path").alias("src"), F.explode(lists).alias("list"))
+    each = part.select("src", F.explode(F.split(F.regexp_replace("list", r"(#|//)[^\n]*|\\", " "), ",")).alias("n"))
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("n", r"\s+", " ")), r" as .*$", ""), "^type ", ""))
+    return each.select("src", name.alias("name")).filter("name <> '' AND name <> '*'").distinct()
+
+
+def wildcard_imports(files: DataFrame) -> DataFrame:
+    """(src, target): modules that files import whole, so that any of their names may be used."""
+    rows = files.withColumn("_lang", language("path")).filter("content IS NOT NULL")
+    js = F.regexp_extract_all("content", F.lit(r"\b(?:import|export)\s*\*\s*(?:as\s+[\w$]+\s+)?from\s*['\"]([^'\"\n]+)['\"]"), F.lit(1))
+    py = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from\s+([.\w]+)\s+import\s*\*"), F.lit(1))
+    return rows.select(F.col("path").alias("src"), F.explode(F.when(F.col("_lang") == "js", js).when(F.col("_lang") == "python", py)).alias("target")).distinct()
 
 
 def references(lines: DataFrame) -> DataFrame:
@@ -138,9 +156,8 @@ def references(lines: DataFrame) -> DataFrame:
 
 def edges(files: DataFrame) -> DataFrame:
     """Imports, references and contained symbols, each (src, dst, rel) once."""
-    lines = lines_of(files)
     contains = symbols(files).select(F.col("path").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("rel"))
-    return imports(lines).unionByName(references(lines)).unionByName(contains).distinct()
+    return imports(files).unionByName(references(lines_of(files))).unionByName(contains).distinct()
 
 
 def frames(traces: DataFrame) -> DataFrame:

@@ -92,18 +92,19 @@ def blast(reached: DataFrame, recent: DataFrame, radius: int) -> DataFrame:
     return reached.join(r, "node", "left").select("node", "hop", ((radius - F.col("hop")) * 10 + F.coalesce("_r", F.lit(0))).alias("score"))
 
 
-def scc(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, each named by its
     smallest node.
 
     Nodes without way in or out are trimmed. Then every node takes the smallest label that
     reaches it (forward) and the smallest it reaches (backward); nodes of equal label pair that
     meet their label's own node both ways form that node's component, and edges between
-    different pairs are cut. Repeated on the rest, so cost follows what is undecided.
+    different pairs are cut. Repeated on the rest until none is left, so cost follows what is
+    undecided; each round decides at least the smallest node.
     """
     left = settle(edges.select("src", "dst").filter("src <> dst").distinct())
     done = None
-    for _ in range(rounds):
+    while True:
         while True:  # trim
             n = left.count()
             left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
@@ -129,11 +130,15 @@ def scc(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def _least_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that reaches each node along ``edges``, itself included."""
+    """(node, label): the smallest node that reaches each node along ``edges``, itself included. What
+    reaches a node's label reaches the node too, so labels jump to their labels' labels, and a
+    chain takes rounds in the logarithm of its length."""
     label = settle(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = edges.join(label, edges.src == label.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        new = settle(label.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label")))
+        step = label.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("l"))
+        jump = label.select(F.col("node").alias("l"), F.col("label").alias("ll"))
+        new = settle(step.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("ll", "l")).alias("label")))
         if new.filter("label <> was").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")

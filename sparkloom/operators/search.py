@@ -138,11 +138,13 @@ def diversify(ranked: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
     """Ranked files (rank, path): the first of each two-part directory, up to ``most``, filled up to
     ``least`` with the next ones."""
     parts = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
-    rows = ranked.withColumn("_in", F.row_number().over(Window.partitionBy(parts).orderBy("rank")))
-    firsts = rows.withColumn("_lead", (F.col("_in") == 1).cast("int"))
+    first = ranked.withColumn("_lead", F.row_number().over(Window.partitionBy(parts).orderBy("rank")) == 1)
+    # limits keep a few rows of each partition, so no window sees the whole table
+    leads = first.filter("_lead").orderBy("rank").limit(most)
+    others = first.filter("NOT _lead").orderBy("rank").limit(least)
     order = Window.orderBy(F.desc("_lead"), "rank")
-    picked = firsts.withColumn("_o", F.row_number().over(order))
-    return picked.filter(((F.col("_lead") == 1) & (F.col("_o") <= most)) | (F.col("_o") <= least)).select("path", "rank")
+    picked = leads.unionByName(others).withColumn("_o", F.row_number().over(order))
+    return picked.filter(F.col("_lead") | (F.col("_o") <= least)).select("path", "rank")
 
 
 def directory_map(hits: DataFrame, samples: int = 3) -> DataFrame:
@@ -150,8 +152,12 @@ def directory_map(hits: DataFrame, samples: int = 3) -> DataFrame:
     return hits.groupBy(T.dirname("path").alias("dir")).agg(F.count("*").alias("hits"), F.slice(F.array_sort(F.collect_set("path")), 1, samples).alias("examples"))
 
 
-def confidence(score: Column, intent: Column) -> Column:
-    """high, medium or low by score; one step down where retrieval can't see what is asked."""
+def confidence(score: Column, intent: Column, task: Column | None = None) -> Column:
+    """high from a score of 10 on, medium from 4, else low; one step down, to low for content that
+    retrieval can't see, where the intent or a broad task asks for more than it finds."""
     base = F.when(score >= 10, 2).when(score >= 4, 1).otherwise(0)
-    level = F.greatest(F.lit(0), base - F.when(intent.isin("content_search", "control_flow", "absence_query", "dynamic_trace"), 1).otherwise(0))
+    blind = intent.isin("control_flow", "absence_query", "dynamic_trace")
+    if task is not None:
+        blind = blind | task.isin("exhaustive", "behavioral")
+    level = F.when(intent == "content_search", 0).when(blind, F.least(base, F.lit(1))).otherwise(base)
     return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), level + 1)

@@ -21,9 +21,14 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {B.SYMBOLS_SQL} SELECT body_hash, count(*) AS copies, CAST(max(line_end - line_start) AS INTEGER) AS lines, min(id) AS first_id FROM symbols WHERE line_end - line_start >= 3 GROUP BY body_hash HAVING count(*) >= 2")
+@query(f"WITH {B.SYMBOLS_SQL} SELECT body_hash, count(*) AS copies, CAST(max(line_end - line_start) AS INTEGER) AS lines, min(id) AS first_id, array_to_string(list_sort(list(id))[1:5], ' ') AS ids FROM symbols WHERE line_end - line_start >= 3 GROUP BY body_hash HAVING count(*) >= 2")
 def copy_paste_groups(spark, d):
-    return A.copy_paste(B.symbols(spark, d), min_span=3)
+    return A.copy_paste(B.symbols(spark, d), min_span=3).withColumn("ids", F.array_join("ids", " "))
+
+
+@query(f"WITH {B.SYMBOLS_SQL} SELECT body_hash, count(*) AS copies, CAST(max(line_end - line_start) AS INTEGER) AS lines FROM symbols WHERE line_end - line_start >= 2 GROUP BY body_hash HAVING count(*) >= 2 ORDER BY copies * max(line_end - line_start) DESC, body_hash LIMIT 12")
+def copy_paste_top(spark, d):
+    return A.copy_paste(B.symbols(spark, d), min_span=2, top=12).select("body_hash", "copies", "lines")
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size % 2 = 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 47))")

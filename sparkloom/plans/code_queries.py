@@ -63,7 +63,7 @@ def extract_symbols(spark, d):
 
 @query("SELECT 'src/p' || p_partkey || '.py' AS src, unnest(['os', 'lib.m' || (p_partkey % 7)]) AS dst, 'imports' AS rel FROM part")
 def extract_imports(spark, d):
-    return X.imports(X.lines_of(sources(spark, d)))
+    return X.imports(sources(spark, d))
 
 
 @query("SELECT p_partkey AS trace_id, 'python' AS language, 'src/p' || p_partkey || '.py' AS path, p_size AS line, 'load' AS function FROM part")

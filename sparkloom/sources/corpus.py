@@ -12,7 +12,7 @@ LOG_SCHEMA = "timestamp string, tool string, turn int, payload struct<mode:strin
 USAGE_SCHEMA = "type string, sessionId string, project string, timestamp string, usage struct<input_tokens:long,output_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long>"
 
 
-def read_tree(spark: SparkSession, root: str, changed_since: str | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, changed_since: str | None = None, skip: list[str] | None = None) -> DataFrame:
     """(path, ext, size, content, file_hash) of the files below ``root`` that are scanned.
 
     Directory listing, the size filter and ``changed_since`` (a modification time) work before
@@ -23,18 +23,21 @@ def read_tree(spark: SparkSession, root: str, changed_since: str | None = None)
         reader = reader.option("modifiedAfter", changed_since)
     raw = reader.load(root).filter(F.col("length") <= X.MAX_FILE_BYTES)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + root.replace("file:", "").rstrip("/").replace(".", r"\.") + "/", "")
-    rows = raw.withColumn("path", path).filter(X.scannable("path"))
+    rows = raw.withColumn("path", path).filter(X.scannable("path", skip))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return rows.select("path", T.suffix("path").alias("ext"), F.col("length").alias("size"), F.left(text, F.lit(X.MAX_CONTENT_CHARS)).alias("content"), F.md5("content").alias("file_hash"))
+    return rows.select("path", T.suffix("path").alias("ext"), F.col("length").alias("size"), text.alias("content"), F.md5("content").alias("file_hash"))
 
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return read_tree(spark, root).filter("ext = '.md'")
 
 
-def write_graph(nodes: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table each: files, symbols, edges."""
+def write_graph(nodes: dict[str, DataFrame], folder: str, max_content: int | None = X.MAX_CONTENT_CHARS) -> None:
+    """One Parquet table each: files, symbols, edges. Symbols and edges come from whole texts; only the text
+    that is stored is cut to ``max_content`` characters."""
     for name, df in nodes.items():
+        if name == "files" and max_content:
+            df = df.withColumn("content", F.left("content", F.lit(max_content)))
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
@@ -62,6 +65,22 @@ def read_tool_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("_bad").isNull() & F.col("tool").isNotNull()).drop("_bad")
 
 
+def log_after(spark: SparkSession, path: str, line: int) -> DataFrame:
+    """Rows of one JSON-lines file after its first ``line`` lines, with ``line_no``: reading goes on where it
+    stopped. Lines are numbered within their blocks, the blocks' counts make the offsets."""
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"))
+    block = F.shiftright("_at", 33)
+    sizes = text.groupBy(block.alias("_b")).count()
+    earlier = sizes.alias("x").join(sizes.alias("y"), F.col("y._b") < F.col("x._b"), "left").groupBy("x._b").agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("_before"))
+    rows = text.withColumn("_b", block).join(F.broadcast(earlier), "_b").select("value", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"))
+    return rows.filter(F.col("line_no") > line)
+
+
+def last_usage(rows: DataFrame) -> DataFrame:
+    """(sessionId, usage): the last usage record of each session by its line number."""
+    return rows.filter("usage IS NOT NULL").groupBy("sessionId").agg(F.max_by("usage", "line_no").alias("usage"))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
