@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import actions as W
 from .operators import audit as A
 from .operators import extract as X
 from .operators import graph as G
@@ -50,13 +51,33 @@ class Corpus:
         asked = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
         return S.bm25(self.files.select(F.col("path").alias("doc_id"), F.concat_ws(" ", "content", F.array_join("keywords", " ")).alias("text")), asked, top_files)
 
-    def answer(self, query: str, top_files: int = 5) -> tuple[dict, DataFrame]:
-        """The plan of a query and its files: retrieved, or a map of directories."""
+    def answer(self, query: str, top_files: int = 5, memory: DataFrame | None = None) -> tuple[dict, DataFrame]:
+        """How a query is answered, and its files: for a small corpus all of them, files remembered from
+        like queries, a map of directories, or files ranked, with minority languages demoted,
+        spread over directories where the task is broad."""
         how = P.plan(query, self.files.limit(5).count(), self.spark)
+        if how["route"] == "small_project":
+            return how, self.files.select(F.col("path").alias("target"))
+        if memory is not None:
+            known = P.remembered(memory, F.array(*map(F.lit, how["terms"])).cast("array<string>"))
+            if not known.isEmpty():
+                return how | {"route": "memory_first", "confidence": "high"}, known.select(F.col("file").alias("target"))
         if how["route"] == "exhaustive_map" and how["terms"]:
+            how = how | {"sample": [r.path for r in S.diversify(self._ranked(query, 20), 5, 3).orderBy("rank").collect()]}
             return how, S.directory_map(self.files.filter(F.lower("content").rlike(T.any_of(how["terms"]))))
-        ranked = self.retrieve(query, top_files).select(F.col("doc_id").alias("path"), "rank")
-        return how, S.upgrade(ranked.withColumn("file_id", F.col("path")), self._spans(), how["terms"])
+        ranked = self._ranked(query, top_files)
+        top = ranked.agg(F.max("score").alias("s")).select(S.confidence(F.coalesce("s", F.lit(0.0)), F.lit(how["intent"]), F.lit(how["task_type"])).alias("c")).first().c
+        return how | {"confidence": top}, S.upgrade(ranked.withColumn("file_id", F.col("path")), self._spans(), how["terms"])
+
+    def _ranked(self, query: str, top_files: int) -> DataFrame:
+        """(path, rank, score) with minority languages demoted; as many rows as are asked for."""
+        found = self.retrieve(query, top_files).select(F.col("doc_id").alias("file_id"), T.suffix("doc_id").alias("ext"), "score")
+        again = S.rerank(found, S.dominant_language(self.files))
+        return again.select(F.col("file_id").alias("path"), "score", F.row_number().over(Window.orderBy(F.desc("score"), "file_id")).alias("rank"))
+
+    def top_edges(self, query: str, top_files: int = 5, limit: int = 30) -> DataFrame:
+        """Edges between the files that a query finds and their neighbours."""
+        return G.neighbours(self.edges, self.retrieve(query, top_files).select(F.col("doc_id").alias("node")), limit)
 
     def read(self, file: str, max_chars: int = 20_000, query: str = "", anchor: str = "") -> DataFrame:
         path, _, name = file.partition("::")
@@ -118,3 +139,45 @@ class Corpus:
 
     def memories(self, entries: DataFrame, query: str, now_epoch: int, limit: int = 8) -> DataFrame:
         return M.best(M.score(entries, P.plan(query, 5, self.spark)["terms"], [], now_epoch), limit)
+
+    def register_edit(self, files: list[str], summary: str = "", query: str = "", epoch: int = 0, seq: int = 0) -> dict[str, DataFrame]:
+        """What an edit adds: memories, the symbols that are stale now, and counts by file."""
+        edit = self.spark.createDataFrame([(seq, epoch, files, summary, query)], "seq long, epoch long, files array<string>, summary string, query string")
+        touched = edit.select(F.explode("files").alias("file"))
+        return {"memories": W.edit_memories(edit, self.symbols), "stale": W.mark_edited(self.symbols, touched).filter("stale"), "counts": W.edit_counts(edit.withColumn("ts", F.col("epoch")))}
+
+    def add_memory(self, kind: str, content: str, files: list[str], now_epoch: int, seq: int = 0) -> DataFrame:
+        """The normalised entry of a memory, ready to be merged with the others."""
+        entry = self.spark.createDataFrame([(seq, kind, content, files)], "seq long, kind string, content string, files array<string>")
+        blank = {c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("symbol_id", "string"), ("file_path", "string"), ("symbol_hash", "string"), ("created_at", "string"), ("updated_at", "string"), ("created_epoch", "long"))}
+        return W.normalised(entry.withColumns(blank), self.symbols, now_epoch)
+
+    def add_decision(self, summary: str, files: list[str], now_epoch: int, seq: int = 0) -> DataFrame:
+        return self.add_memory("decision", summary, files, now_epoch, seq)
+
+    def action_summary(self, history: DataFrame, decisions: DataFrame, actions: DataFrame, query: str = "", limit: int = 12) -> dict[str, DataFrame]:
+        """Files touched, decisions and actions that have to do with a query."""
+        terms = P.plan(query, 5, self.spark)["terms"] if query else []
+        files = W.touched_files(history, terms, limit)
+        named = [r.file for r in files.select("file").collect()]  # ``limit`` at most
+        return {"files": files, "decisions": W.relevant_decisions(decisions, terms, named), "actions": W.action_hits(actions, terms)}
+
+    def dynamic_trace(self, entries: DataFrame, key: str) -> DataFrame:
+        return G.match_key(entries, key)
+
+    def cross_search(self, root: str, pattern: str, max_hits: int = 200) -> DataFrame:
+        """Matching lines of another tree, which is read as it is and not kept."""
+        lines = X.lines_of(C.read_tree(self.spark, root)).withColumnRenamed("path", "file_id")
+        return S.grep(lines, pattern).orderBy("file_id", "line_no").limit(max_hits)
+
+    def digest(self) -> DataFrame:
+        return W.symbol_digest(self.files, self.edges.filter("rel IN ('imports', 'requires')"), self.symbols)
+
+    def bodies(self, pattern: str, scope: str = "", symbols: int = 5, lines: int = 80) -> DataFrame:
+        """(id, body) of the first symbols that hold matching lines: in ``scope`` if any match there, else anywhere."""
+        hits = self.grep(pattern).filter("symbol IS NOT NULL")
+        inside = hits.filter(F.col("file_id").startswith(scope))
+        found = (inside if scope and not inside.isEmpty() else hits).groupBy("file_id", "symbol", "line_start", "line_end").count()
+        first = found.orderBy(F.desc("count"), "symbol").limit(symbols)
+        n = F.least(F.col("line_end") - F.col("line_start") + 1, F.lit(lines))
+        return first.join(self._docs(), "file_id").select(F.col("symbol").alias("id"), F.array_join(F.slice("lines", F.col("line_start"), n), "\n").alias("body"))

@@ -1,12 +1,15 @@
 """Graph operators over edge tables (src, dst[, rel]).
 
 Iterative ones loop on the driver over DataFrames, one round a pass over the frontier, and cut
-lineage each round by a checkpoint in the shared folder; what the driver sees is a count.
+lineage each round by files in the shared folder; what the driver sees is a count.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +18,28 @@ from ..functions import text as T
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: files in the folder that ``spark.checkpoint.dir`` names (a temporary
-    one is set only where none is), which survive the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read again: files in the folder that ``spark.checkpoint.dir``
+    names (a temporary one only under a local master), which survive the loss of executors. Unlike
+    a checkpoint, whose size estimates multiply join by join, files bring their true sizes."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/sparkloom/graph-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before
+        pass
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, limit: int = 30) -> DataFrame:
