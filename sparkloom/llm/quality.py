@@ -40,6 +40,8 @@ BUCKETS = 1 << 18
 PSEUDO = 0.5
 #: Labelled documents, about, that make the target model.
 MAX_LABELS = 1 << 18
+#: Bytes of text whose n-grams are held at once; a longer text is taken alone.
+TEXT_BYTES = 1 << 20
 #: Gumbel noise's seed.
 SEED = 4
 #: Hash of the mark of a word said three times running.
@@ -107,7 +109,7 @@ def counts(labelled: DataFrame, text_col: str = "text") -> DataFrame:
             data, offsets = utf8(pc.utf8_lower(batch.column(0)))
             flag = pc.fill_null(batch.column(1), 0).to_numpy(zero_copy_only=False) == 1
             n, n_good = n + len(batch), n_good + int(flag.sum())
-            for first, part, ends in pieces(data, offsets):
+            for first, part, ends in pieces(data, offsets, TEXT_BYTES):
                 h, row = once_a_row(*ngrams(part, ends, hasher))
                 own = flag[first + row]
                 for bucket in buckets(h):
@@ -148,7 +150,7 @@ def log_ratio(model: DataFrame) -> np.ndarray:
 def log_importances(column: pa.Array, ratio: np.ndarray, hasher: SpanHash) -> np.ndarray:
     data, offsets = utf8(pc.utf8_lower(column))
     out = np.zeros(len(column))
-    for first, part, ends in pieces(data, offsets):
+    for first, part, ends in pieces(data, offsets, TEXT_BYTES):
         h, row = ngrams(part, ends, hasher)
         a, b = buckets(h)
         some = (ratio[a] < 0) & (ratio[b] < 0)
