@@ -6,8 +6,9 @@ first, so a source that holds a third of all rows is a few cells. What is wanted
 language and topic is its target share of ``fraction`` of all tokens, and no more than it has: what
 a value lacks is spread over the others in proportion. A cell is kept with probability
 least(1, u); u starts at ``fraction`` and is raked in turn to every margin, by wanted / expected tokens,
-until a round meets no margin that is off by more than ``tolerance``, or for ``rounds`` rounds (margins
-that no probabilities can meet together are met as far as that goes; ``achieved`` tells). A document
+until a round meets no margin that is off by more than ``tolerance``, or the worst is no better by a
+share of ``gain`` than in the round before, or for ``rounds`` rounds (margins that no probabilities can
+meet together are met as far as that goes; ``achieved`` tells). A document
 stays by its cell's probability, decided by a hash of its id, so repeated rows share their fate
 and a task run again decides alike.
 
@@ -41,7 +42,7 @@ TOPICS = {
     "emphatic": r"!!|%%%",
 }
 DIMENSIONS = ("source", "lang", "topic")
-FRACTION, ALPHA, TOLERANCE, ROUNDS = 0.8, 0.7, 0.01, 12
+FRACTION, ALPHA, TOLERANCE, GAIN, ROUNDS = 0.8, 0.7, 0.01, 0.25, 12
 
 
 def topic(text: Column, rules: Mapping[str, str]) -> Column:
@@ -95,12 +96,13 @@ def wanted(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None,
     return out
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, gain: float = GAIN, rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with the fitted ``weight``: the tokens expected of each."""
     want = wanted(cells, targets, alpha, fraction)
     few = {dim: F.broadcast if small(table) is not table else lambda x: x for dim, table in want.items()}  # a margin keeps its size
     weight = F.col("tokens") * F.least(F.lit(1.0), F.col("u"))
     out = cells.select(*DIMENSIONS, "tokens", F.lit(float(fraction)).alias("u"))
+    worst = float("inf")
     for _ in range(rounds):
         off = []
         for dim in DIMENSIONS:
@@ -111,8 +113,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             u = F.col("u") * F.col("by")
             out = out.join(few[dim](step.drop("off")), dim).withColumn("u", F.when(F.col("all"), F.greatest(F.lit(1.0), u)).otherwise(u)).select(*DIMENSIONS, "tokens", "u")
         out = cut(out, "raked")
-        if (reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        now = reduce(DataFrame.unionAll, off).agg(F.max("off")).first()[0] or 0.0
+        if now <= tolerance or now > (1 - gain) * worst:
             break
+        worst = now
     return out.select(*DIMENSIONS, "tokens", weight.alias("weight"))
 
 
@@ -122,13 +126,13 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixed(rows: DataFrame, id_col: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, rounds: int = ROUNDS, seed: int = 9) -> DataFrame:
+def mixed(rows: DataFrame, id_col: str = "doc_id", targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, gain: float = GAIN, rounds: int = ROUNDS, seed: int = 9) -> DataFrame:
     """``measured`` rows with two more last columns: the probability, and whether the row is kept. They are
     read twice, for the cells and for the sample: rows whose texts cost more than a copy of their
     measures are best cut before."""
     cell = F.col(rows.columns[-1])
     cells = cut(rows.groupBy(*[cell.getField(x).alias(x) for x in DIMENSIONS]).agg(F.sum(cell.getField("tokens")).alias("tokens")), "cells")
-    fitted = cut(rake(cells, targets, alpha, fraction, tolerance, rounds), "fitted")
+    fitted = cut(rake(cells, targets, alpha, fraction, tolerance, gain, rounds), "fitted")
     key, value, kept = fresh(rows, "cell_key"), fresh(rows, "probability"), fresh(rows, "kept")
     probability = F.when(F.col("tokens") > 0, F.col("weight") / F.nullif("tokens", F.lit(0))).otherwise(F.lit(fraction))
     rate = fitted.select(F.struct(*DIMENSIONS).alias(key), probability.alias(value))
@@ -152,7 +156,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "cell.topic", F.col("cell.tokens").alias("n_tokens"), F.round("probability", 9).alias("probability"), "kept")
 
 
-def _oracle(alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, rounds: int = ROUNDS, passes: int = 12, seed: int = 9) -> str:
+def _oracle(alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float = TOLERANCE, gain: float = GAIN, rounds: int = ROUNDS, passes: int = 12, seed: int = 9) -> str:
     rules = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{name}'" for name, p in TOPICS.items())
     steps = [
         f"d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE {rules} ELSE 'prose' END AS topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens FROM documents)",
@@ -165,7 +169,7 @@ def _oracle(alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float =
         for i in range(passes):
             steps.append(f"s_{x}_{i + 1} AS MATERIALIZED (SELECT CASE WHEN sum(base) FILTER (base * s < have) > 0 THEN (any_value(goal) - coalesce(sum(have) FILTER (base * s >= have), 0)) / sum(base) FILTER (base * s < have) ELSE any_value(s) END AS s FROM m_{x}, goal, s_{x}_{i})")
         steps.append(f"t_{x} AS MATERIALIZED (SELECT {x}, have, least(have, base * s) AS want FROM m_{x}, s_{x}_{passes})")
-    steps += [f"w0 AS MATERIALIZED (SELECT *, CAST({fraction} AS DOUBLE) AS u FROM c)", "g0 AS MATERIALIZED (SELECT true AS go)"]
+    steps += [f"w0 AS MATERIALIZED (SELECT *, CAST({fraction} AS DOUBLE) AS u FROM c)", "g0 AS MATERIALIZED (SELECT true AS go, CAST(1e300 AS DOUBLE) AS worst)"]
     n = 0
     for turn in range(rounds):
         off = []
@@ -175,7 +179,7 @@ def _oracle(alpha: float = ALPHA, fraction: float = FRACTION, tolerance: float =
             off.append(f"SELECT CASE WHEN want > 0 THEN abs(now / want - 1) END AS off FROM w{n + 1}")
             steps.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, now, want, CASE WHEN NOT go THEN u WHEN want >= have THEN greatest(1, {new}) ELSE {new} END AS u FROM ({step}))")
             n += 1
-        steps.append(f"g{turn + 1} AS MATERIALIZED (SELECT any_value(go) AND coalesce(max(off), 0) > {tolerance} AS go FROM ({' UNION ALL '.join(off)}), g{turn})")
+        steps.append(f"g{turn + 1} AS MATERIALIZED (SELECT any_value(go) AND coalesce(max(off), 0) > {tolerance} AND coalesce(max(off), 0) <= {1 - gain} * any_value(worst) AS go, coalesce(max(off), 0) AS worst FROM ({' UNION ALL '.join(off)}), g{turn})")
     steps.append(f"p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1, u) ELSE {fraction} END AS probability FROM w{n})")
     return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, topic, n_tokens, round(probability, 9) AS probability, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM d JOIN p USING (source, lang, topic)"
 

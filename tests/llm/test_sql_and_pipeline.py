@@ -67,7 +67,7 @@ def test_contaminated_rows_go_alone_whatever_their_ids(spark):
 def test_raking_meets_the_targets(spark):
     cells = spark.createDataFrame([("a", "en", "p", 100), ("a", "de", "p", 50), ("b", "en", "p", 10), ("b", "de", "q", 40), ("a", "en", "q", 30)], "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"p": 0.7, "q": 0.3}}
-    out = mixing.rake(cells, targets, fraction=0.2, tolerance=1e-3, rounds=60).collect()
+    out = mixing.rake(cells, targets, fraction=0.2, tolerance=1e-3, gain=0.0, rounds=60).collect()
     assert all(0 <= r.weight <= r.tokens for r in out)
     for i, dim in enumerate(("source", "lang", "topic")):
         for value, share in targets[dim].items():
@@ -83,7 +83,7 @@ def test_what_a_margin_lacks_is_spread_over_the_others(spark):
     cells = [(s, x, t, n * 30 if s == "hot" else n) for s, x, t, n in cells]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     targets = {"source": {"hot": 0.7, "a": 0.1, "b": 0.1, "tiny": 0.1}}
-    got = {tuple(r[:3]): r.weight for r in mixing.rake(df, targets, fraction=0.1, tolerance=1e-4, rounds=50).collect()}
+    got = {tuple(r[:3]): r.weight for r in mixing.rake(df, targets, fraction=0.1, tolerance=1e-4, gain=0.0, rounds=50).collect()}
     total = sum(n for *_, n in cells)
     have = {s: sum(n for c, _, _, n in cells if c == s) for s in targets["source"]}
     rest = (0.1 * total - have["tiny"]) / 0.9
