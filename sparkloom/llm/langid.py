@@ -33,6 +33,8 @@ from .common import SpanHash, cut, mix, pieces, read_table, runs, small, utf8
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_WORDS = 400, 4, 32
 #: Buckets of the lexicon and of the hashed features.
 LEXICON, FEATURES = 1 << 17, 1 << 16
+#: Bytes of text whose features are held at once; a longer text is taken alone.
+TEXT_BYTES = 1 << 20
 #: Words of a segment of forward-backward.
 SEGMENT = 256
 UNDETERMINED = "und"
@@ -261,7 +263,7 @@ def lexicon(train: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             data, offsets = utf8(pc.utf8_lower(batch.column(0)))
-            for first, part, ends in pieces(data, offsets):
+            for first, part, ends in pieces(data, offsets, TEXT_BYTES):
                 starts, stops, bounds = spans(part, ends)
                 bucket = (hasher(part, starts, stops) % np.uint64(LEXICON)).astype(np.int64)
                 own = np.array(langs[first : first + len(ends) - 1], object).repeat(np.diff(bounds))
@@ -297,7 +299,7 @@ def sample_windows(train: DataFrame, per_lang: dict[str, int]) -> list[tuple[str
         for batch in batches:
             langs, out = batch.column(1).to_pylist(), []
             data, offsets = utf8(pc.utf8_lower(batch.column(0)))
-            for first, part, ends in pieces(data, offsets):
+            for first, part, ends in pieces(data, offsets, TEXT_BYTES):
                 starts, stops, bounds = spans(part, ends)
                 raw = part.tobytes()
                 for r in range(len(ends) - 1):
@@ -332,7 +334,7 @@ def label_texts(model: Model, column: pa.Array, hasher: SpanHash) -> tuple[np.nd
     """Mean marginals (rows x K) and number of words of each text."""
     data, offsets = utf8(pc.utf8_lower(column))
     mean, n_words = np.zeros((len(column), len(model.languages))), np.zeros(len(column), np.int64)
-    for first, part, ends in pieces(data, offsets):
+    for first, part, ends in pieces(data, offsets, TEXT_BYTES):
         starts, stops, bounds = spans(part, ends)
         n = np.diff(bounds)
         rows = first + np.flatnonzero(n)

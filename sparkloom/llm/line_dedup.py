@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, release, version
+from .common import cut, read_table, release, small, version
 
 #: Bytes stripped from both ends of a line.
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -79,7 +79,8 @@ def mark(batches, min_docs: int, keep_first: bool):
     an open run's number of documents here. ``first``: the row is its run's first here.
     """
     names = ["h1", "h2", "id", "version", "pos", "state", "n_docs", "first"]
-    rest, first_run, number = None, True, 0
+    held: list[pa.RecordBatch] = []  # rows of one run, joined only once it ends
+    first_run = True
 
     def settle(table: pa.RecordBatch, open_run: bool):
         h1, h2 = table.column(0).to_numpy(), table.column(1).to_numpy()
@@ -106,25 +107,27 @@ def mark(batches, min_docs: int, keep_first: bool):
             lead = table.slice(0, 1)
             yield pa.RecordBatch.from_arrays([*lead.columns, pa.array([0], pa.int32()), pa.array([int(n_docs[0])], pa.int64()), pa.array([True])], names)
 
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         if not len(batch):
             continue
-        whole = pa.Table.from_batches([rest, batch] if rest is not None else [batch]).combine_chunks().to_batches()[0]
-        h1, h2 = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+        h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         edges = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
-        if not len(edges):
-            rest = whole
-            continue
-        begin = 0
-        if first_run:
-            yield from settle(whole.slice(0, int(edges[0])), True)
-            begin, first_run = int(edges[0]), False
-        end = int(edges[-1])
-        if end > begin:
-            yield from settle(whole.slice(begin, end - begin), False)
-        rest = whole.slice(end)
-    if rest is not None:
-        yield from settle(rest, True)
+        if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (int(h1[0]), int(h2[0])):
+            yield from settle(joined(), first_run)
+            held, first_run = [], False
+        if len(edges):
+            held.append(batch.slice(0, int(edges[0])))
+            yield from settle(joined(), first_run)
+            begin, end, first_run = int(edges[0]), int(edges[-1]), False
+            if end > begin:
+                yield from settle(batch.slice(begin, end - begin), False)
+            held, batch = [], batch.slice(end)
+        held.append(batch)
+    if held:
+        yield from settle(joined(), True)
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, keep_first: bool, min_words: int = 0) -> DataFrame:
@@ -140,9 +143,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
         "line-marks",
     )
     release(hashes)
-    # at most two rows a partition, so this table is broadcast by its size or shuffled as Spark finds
+    # at most two rows a partition: broadcast within a counted size, else shuffled
     total = marked.filter("state = 0").groupBy("h1", "h2").agg(F.sum("n_docs").alias("total"), F.min(F.struct("id", "version", "pos")).alias("lead")).filter(F.col("total") >= min_docs)
-    open_rows = marked.filter("state = 1").select("h1", "h2", "id", "version", "pos").join(F.broadcast(total), ["h1", "h2"])
+    total = cut(total, "line-totals")
+    open_rows = marked.filter("state = 1").select("h1", "h2", "id", "version", "pos").join(small(total), ["h1", "h2"])
     if keep_first:
         here = F.struct("id", "version", "pos")
         open_rows = open_rows.filter(~here.eqNullSafe(F.col("lead")))
