@@ -124,12 +124,13 @@ def scc(edges: DataFrame) -> DataFrame:
     left = settle(edges.select("src", "dst").filter("src <> dst").distinct())
     done = None
     while True:
-        while True:  # trim
-            n = left.count()
+        n = left.count()
+        while n:  # trim
             left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-            if left.count() == n:
+            before, n = n, left.count()
+            if n == before:
                 break
-        if left.isEmpty():
+        if not n:
             break
         nodes = left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct()
         fwd = _least_label(nodes, left)
