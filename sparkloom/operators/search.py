@@ -136,14 +136,16 @@ def upgrade(files: DataFrame, symbols: DataFrame, terms: list[str], per_file: in
 
 def diversify(ranked: DataFrame, most: int = 5, least: int = 3) -> DataFrame:
     """Ranked files (rank, path): the first of each two-part directory, up to ``most``, filled up to
-    ``least`` with the next ones."""
+    ``least`` with the next ones. ``rank`` is anything that sorts: a number, or a struct of keys.
+
+    A directory's first file is a minimum, so a hot directory is combined before the shuffle.
+    """
     parts = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
-    first = ranked.withColumn("_lead", F.row_number().over(Window.partitionBy(parts).orderBy("rank")) == 1)
-    # limits keep a few rows of each partition, so no window sees the whole table
-    leads = first.filter("_lead").orderBy("rank").limit(most)
-    others = first.filter("NOT _lead").orderBy("rank").limit(least)
-    order = Window.orderBy(F.desc("_lead"), "rank")
-    picked = leads.unionByName(others).withColumn("_o", F.row_number().over(order))
+    leads = ranked.groupBy(parts.alias("_dir")).agg(F.min(F.struct("rank", "path")).alias("x")).select("x.path", "x.rank").orderBy("rank", "path").limit(most)
+    # fewer leads than ``least`` are all there are, so as many rows more hold every file that may fill up
+    others = ranked.select("path", "rank").orderBy("rank", "path").limit(most + least).join(leads.select("path"), "path", "left_anti")
+    both = leads.withColumn("_lead", F.lit(True)).unionByName(others.withColumn("_lead", F.lit(False)))
+    picked = both.withColumn("_o", F.row_number().over(Window.orderBy(F.desc("_lead"), "rank", "path")))
     return picked.filter(F.col("_lead") | (F.col("_o") <= least)).select("path", "rank")
 
 

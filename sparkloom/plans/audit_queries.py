@@ -72,18 +72,18 @@ def debt_score(spark, d):
     return g.select("source", A.debt(F.col("pct"), F.col("dead"), F.col("cycles"), F.col("copies"), F.col("db"), F.col("todos")).alias("score"))
 
 
-def _findings(spark, d, lo=0, hi=1 << 40):
-    e = B.table(spark, d, "events").filter((F.col("event_id") >= lo) & (F.col("event_id") < hi))
+def _findings(spark, d):
+    e = B.table(spark, d, "events")
     severity = F.when(F.col("event_type") == "error", "CRITICAL").when(F.col("event_type") == "purchase", "HIGH").when(F.col("event_type") == "click", "MEDIUM").otherwise("LOW")
-    return e.select(F.col("event_id").alias("seq"), severity.alias("severity"), F.concat(F.when(F.col("event_id") % 2 == 0, "Title ").otherwise("TITLE "), F.col("user_id")).alias("title"))
+    return e.select(F.col("event_id").alias("seq"), "ts", severity.alias("severity"), F.concat(F.when(F.col("event_id") % 2 == 0, "Title ").otherwise("TITLE "), F.col("user_id")).alias("title"))
 
 
-FINDINGS_SQL = "f AS (SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'Title ' ELSE 'TITLE ' END || user_id AS title FROM events)"
+FINDINGS_SQL = "f AS (SELECT event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'click' THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'Title ' ELSE 'TITLE ' END || user_id AS title FROM events)"
 
 
 @query(f"WITH {FINDINGS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, seq) AS n FROM f) SELECT seq, severity, title FROM r WHERE n = 1")
 def dedupe_keep_first(spark, d):
-    return A.dedupe_findings(_findings(spark, d))
+    return A.dedupe_findings(_findings(spark, d)).select("seq", "severity", "title")
 
 
 @query(f"WITH {FINDINGS_SQL} SELECT severity, count(*) AS n FROM f GROUP BY severity")
@@ -91,9 +91,10 @@ def severity_counts(spark, d):
     return _findings(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FINDINGS_SQL}, a AS (SELECT DISTINCT title, severity FROM f WHERE seq < 400), b AS (SELECT DISTINCT title, severity FROM f WHERE seq >= 400 AND seq < 800) SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+@query(f"WITH {FINDINGS_SQL}, a AS (SELECT DISTINCT title, severity FROM f WHERE ts < '2024-01-16'), b AS (SELECT DISTINCT title, severity FROM f WHERE ts >= '2024-01-16') SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def set_diff_findings(spark, d):
-    return A.only_in(_findings(spark, d, 0, 400), _findings(spark, d, 400, 800), ["title", "severity"])
+    f = _findings(spark, d)
+    return A.only_in(f.filter("ts < '2024-01-16'"), f.filter("ts >= '2024-01-16'"), ["title", "severity"])
 
 
 NOW = 1706659200  # the moment of bindings.NOW, in seconds

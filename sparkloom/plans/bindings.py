@@ -100,13 +100,13 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"), F.lit("references").alias("rel"))
 
 
-def order_edges(spark: SparkSession, sf_dir: str, max_order: int = 300) -> DataFrame:
-    """(src, dst): consecutive suppliers of one group within an order; directed, with cycles."""
-    l = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") < max_order)
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts on consecutive lines of an order that share discount and status; directed, with cycles."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = l.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
-    return e.filter((F.col("src") != F.col("dst")) & (F.floor(F.col("src") / 10) == F.floor(F.col("dst") / 10))).distinct()
+    following = F.lead(F.struct(F.col("l_partkey").alias("part"), F.col("l_discount").alias("discount"), F.col("l_linestatus").alias("status"))).over(w)
+    e = table(spark, sf_dir, "lineitem").withColumn("_next", following).filter("l_discount = _next.discount AND l_linestatus = _next.status")
+    return e.select(F.col("l_partkey").alias("src"), F.col("_next.part").alias("dst")).filter("src <> dst").distinct()
 
 
-ORDER_EDGES_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem WHERE l_orderkey < 300)
-  WHERE src <> dst AND src // 10 = dst // 10)"""
+ORDER_EDGES_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_discount = lead(l_discount) OVER w AND l_linestatus = lead(l_linestatus) OVER w AS alike FROM lineitem
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE alike AND src <> dst)"""

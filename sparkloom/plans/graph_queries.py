@@ -34,50 +34,58 @@ def neighbors(spark, d):
     return G.neighbours(e, e.filter(F.length("dst") <= 4).select(F.col("dst").alias("node")))
 
 
-@query("""WITH c AS (SELECT s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 3), e AS (SELECT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem),
-x AS (SELECT dst AS node FROM e WHERE src IN (SELECT node FROM c) UNION ALL SELECT src FROM e WHERE dst IN (SELECT node FROM c)) SELECT node, count(*) AS degree FROM x WHERE node NOT IN (SELECT node FROM c) GROUP BY node""")
+@query("""WITH c AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0)
+SELECT 'p' || l_partkey AS node, count(*) AS degree FROM lineitem WHERE l_suppkey IN (SELECT node FROM c) GROUP BY 1""")
 def impact(spark, d):
-    e = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst"))
-    return G.impact(e, B.table(spark, d, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("node")))
+    return G.impact(_supply(spark, d), B.table(spark, d, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
 
 
 def _supply(spark, d):
-    l = B.table(spark, d, "lineitem")
-    return l.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 977).alias("dst"))
+    """(src, dst): every line's supplier and part."""
+    return B.table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
 
 
-NODES_SQL = "n AS (SELECT range AS node FROM range(0, 1200)), x AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 977 AS dst FROM lineitem), e AS (SELECT * FROM x WHERE src < 1200 AND dst < 1200)"
+def _traders(spark, d):
+    """(node): all suppliers, parts and customers; customers are islands here."""
+    ids = lambda name, mark, key: B.table(spark, d, name).select(F.concat(F.lit(mark), key).alias("node"))
+    return ids("supplier", "s", "s_suppkey").unionAll(ids("part", "p", "p_partkey")).unionAll(ids("customer", "c", "c_custkey"))
+
+
+NODES_SQL = "n AS (SELECT 's' || s_suppkey AS node FROM supplier UNION SELECT 'p' || p_partkey FROM part UNION SELECT 'c' || c_custkey FROM customer), x AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), e AS (SELECT * FROM x WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n))"
 DEGREE_SQL = f"WITH {NODES_SQL}, g AS (SELECT node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM n LEFT JOIN (SELECT dst, count(*) AS i FROM e GROUP BY dst) ON dst = node LEFT JOIN (SELECT src, count(*) AS o FROM e GROUP BY src) ON src = node)"
 
 
 @query(f"{DEGREE_SQL} SELECT * FROM g")
 def degrees(spark, d):
-    return G.degrees(_supply(spark, d), spark.range(1200).withColumnRenamed("id", "node"))
+    return G.degrees(_supply(spark, d), _traders(spark, d))
 
 
-@query("SELECT l_partkey % 977 AS node, count(*) AS in_degree FROM lineitem GROUP BY 1 ORDER BY in_degree DESC, node LIMIT 20")
+@query("SELECT 'p' || l_partkey AS node, count(*) AS in_degree FROM lineitem GROUP BY 1 ORDER BY in_degree DESC, node LIMIT 20")
 def degree_hotspots(spark, d):
     return G.hotspots(_supply(spark, d), 20)
 
 
 @query(f"{DEGREE_SQL}, r AS (SELECT 'hotspots' AS list, node, in_degree AS k FROM g WHERE in_degree > 0 UNION ALL SELECT 'entry_points', node, out_degree FROM g WHERE in_degree = 0 AND out_degree > 0 UNION ALL SELECT 'complex', node, in_degree + out_degree FROM g WHERE in_degree + out_degree > 0 UNION ALL SELECT 'islands', node, 0 FROM g WHERE in_degree + out_degree = 0), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY list ORDER BY k DESC, node) AS INTEGER) AS rank FROM r) SELECT list, rank, node FROM o WHERE rank <= 10")
 def system_map(spark, d):
-    return G.system_map(G.degrees(_supply(spark, d), spark.range(1200).withColumnRenamed("id", "node")))
+    return G.system_map(G.degrees(_supply(spark, d), _traders(spark, d)))
+
+
+BFS_SQL = f"""WITH RECURSIVE {B.ORDER_EDGES_SQL}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT dst, hop + 1 FROM w JOIN u ON src = node WHERE hop < 3)"""
 
 
-BFS_SQL = f"""WITH RECURSIVE {B.ORDER_EDGES_SQL}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, hop) AS (SELECT s_suppkey, 0 FROM supplier WHERE s_suppkey % 25 = 1 UNION SELECT dst, hop + 1 FROM w JOIN u ON src = node WHERE hop < 3)"""
+def _reached(spark, d):
+    return G.bfs(B.order_edges(spark, d), B.table(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node")), 3)
 
 
 @query(f"{BFS_SQL} SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node")
 def bfs_hops(spark, d):
-    return G.bfs(B.order_edges(spark, d), B.table(spark, d, "supplier").filter("s_suppkey % 25 = 1").select(F.col("s_suppkey").alias("node")), 3)
+    return _reached(spark, d)
 
 
-@query(f"{BFS_SQL}, h AS (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node) SELECT node, hop, CAST((3 - hop) * 10 + CASE WHEN s_nationkey < 10 THEN 5 ELSE 0 END AS INTEGER) AS score FROM h JOIN supplier ON s_suppkey = node ORDER BY score DESC, node LIMIT 6")
+@query(f"{BFS_SQL}, h AS (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node) SELECT node, hop, CAST((3 - hop) * 10 + CASE WHEN p_size <= 10 THEN 5 ELSE 0 END AS INTEGER) AS score FROM h JOIN part ON p_partkey = node ORDER BY score DESC, node LIMIT 6")
 def blast_radius(spark, d):
-    s = B.table(spark, d, "supplier")
-    reached = G.bfs(B.order_edges(spark, d), s.filter("s_suppkey % 25 = 1").select(F.col("s_suppkey").alias("node")), 3)
-    return G.blast(reached, s.filter("s_nationkey < 10").select(F.col("s_suppkey").alias("node")), 3).orderBy(F.desc("score"), "node").limit(6)
+    recent = B.table(spark, d, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("node"))
+    return G.blast(_reached(spark, d), recent, 3).orderBy(F.desc("score"), "node").limit(6)
 
 
 SCC_SQL = f"WITH RECURSIVE {B.ORDER_EDGES_SQL}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"

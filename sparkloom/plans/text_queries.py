@@ -168,13 +168,11 @@ def symbol_upgrade(spark, d):
     return S.upgrade(B.files(spark, d).select(F.col("id").alias("file_id"), "path"), s, ["tion", "ment"])
 
 
-@query(f"""WITH {FILES_SQL}, r AS (SELECT path, row_number() OVER (ORDER BY n_chars DESC, file_id) AS rank FROM f ORDER BY rank LIMIT 40),
-i AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(string_split(path, '/')[1:2], '/') ORDER BY rank) = 1 AS lead FROM r), o AS (SELECT *, row_number() OVER (ORDER BY lead DESC, rank) AS o FROM i) SELECT path, CAST(rank AS INTEGER) AS rank FROM o WHERE (lead AND o <= 5) OR o <= 3""")
+@query(f"""WITH {FILES_SQL}, r AS (SELECT path, n_chars AS size, row_number() OVER (ORDER BY n_chars DESC, file_id) AS rank FROM f),
+i AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(string_split(path, '/')[1:2], '/') ORDER BY rank) = 1 AS lead FROM r), o AS (SELECT *, row_number() OVER (ORDER BY lead DESC, rank) AS o FROM i) SELECT path, size FROM o WHERE (lead AND o <= 5) OR o <= 3""")
 def diversify_dirs(spark, d):
-    from pyspark.sql import Window
-
-    top = B.files(spark, d).orderBy(F.desc("size"), "id").limit(40)
-    return S.diversify(top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "id"))).select("path", "rank"))
+    ranked = B.files(spark, d).select("path", F.struct((-F.col("size")).alias("less"), "id").alias("rank"))
+    return S.diversify(ranked).select("path", (-F.col("rank.less")).alias("size"))
 
 
 @query(f"WITH {FILES_SQL}, h AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM f JOIN documents ON doc_id = file_id WHERE regexp_matches(text, '(?i)licen[sc]e')) SELECT dir, count(*) AS hits, array_to_string(list_sort(list(DISTINCT path))[1:3], ' ') AS examples FROM h GROUP BY dir")
