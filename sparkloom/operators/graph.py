@@ -133,9 +133,7 @@ def scc(edges: DataFrame) -> DataFrame:
         if not n:
             break
         nodes = left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct()
-        fwd = _least_label(nodes, left)
-        bwd = _least_label(nodes, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        label = settle(fwd.withColumnRenamed("label", "f").join(bwd.withColumnRenamed("label", "b"), "node"))
+        label = _least_labels(nodes, left)
         # reached by its label's node and reaching it: same component
         found = label.filter("f = b").select("node", F.col("f").alias("component"))
         done = found if done is None else done.unionByName(found)
@@ -149,19 +147,23 @@ def scc(edges: DataFrame) -> DataFrame:
     return done.join(big, "component", "left_semi").select("node", "component")
 
 
-def _least_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that reaches each node along ``edges``, itself included. What
-    reaches a node's label reaches the node too, so labels jump to their labels' labels, and a
-    chain takes rounds in the logarithm of its length."""
-    label = settle(nodes.select("node", F.col("node").alias("label")))
+def _least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, f, b): the smallest node that reaches each node along ``edges`` and the smallest it reaches, itself
+    included; both ways in one pass a round. What reaches a node's label reaches the node too, so labels jump
+    to their labels' labels, and a chain takes rounds in the logarithm of its length."""
+    label = nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b"))
+    none = F.lit(None).cast(label.schema["node"].dataType)
     while True:
-        near = edges.join(label, edges.src == label.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("near"))
-        step = label.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("l"))
-        jump = label.select(F.col("node").alias("l"), F.col("label").alias("ll"))
-        new = settle(step.join(jump, "l", "left").select("node", "was", F.least("l", F.coalesce("ll", "l")).alias("label")))
-        if new.filter("label <> was").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+        ahead = edges.join(label, edges.src == label.node).select(F.col("dst").alias("node"), "f", none.alias("b"))
+        back = edges.join(label, edges.dst == label.node).select(F.col("src").alias("node"), none.alias("f"), "b")
+        near = ahead.unionAll(back).groupBy("node").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
+        step = label.join(near, "node", "left").select("node", F.col("f").alias("wf"), F.col("b").alias("wb"), F.least("f", "nf").alias("lf"), F.least("b", "nb").alias("lb"))
+        f, b = label.select(F.col("node").alias("lf"), F.col("f").alias("jf")), label.select(F.col("node").alias("lb"), F.col("b").alias("jb"))
+        jumped = step.join(f, "lf", "left").join(b, "lb", "left")
+        new = settle(jumped.select("node", F.least("lf", "jf").alias("f"), F.least("lb", "jb").alias("b"), (F.least("lf", "jf") < F.col("wf")).alias("cf"), (F.least("lb", "jb") < F.col("wb")).alias("cb")))
+        if new.filter("cf OR cb").isEmpty():
+            return new.select("node", "f", "b")
+        label = new.select("node", "f", "b")
 
 
 def cycles(components: DataFrame, limit: int = 20) -> DataFrame:

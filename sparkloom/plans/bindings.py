@@ -101,12 +101,12 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): parts on consecutive lines of an order that share discount and status; directed, with cycles."""
+    """(src, dst): parts on consecutive lines of an order that are sold at one discount; directed, with cycles."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    following = F.lead(F.struct(F.col("l_partkey").alias("part"), F.col("l_discount").alias("discount"), F.col("l_linestatus").alias("status"))).over(w)
-    e = table(spark, sf_dir, "lineitem").withColumn("_next", following).filter("l_discount = _next.discount AND l_linestatus = _next.status")
+    following = F.lead(F.struct(F.col("l_partkey").alias("part"), F.col("l_discount").alias("discount"))).over(w)
+    e = table(spark, sf_dir, "lineitem").withColumn("_next", following).filter("l_discount = _next.discount")
     return e.select(F.col("l_partkey").alias("src"), F.col("_next.part").alias("dst")).filter("src <> dst").distinct()
 
 
-ORDER_EDGES_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_discount = lead(l_discount) OVER w AND l_linestatus = lead(l_linestatus) OVER w AS alike FROM lineitem
+ORDER_EDGES_SQL = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, l_discount = lead(l_discount) OVER w AS alike FROM lineitem
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)) WHERE alike AND src <> dst)"""
