@@ -1,11 +1,13 @@
 """Exact top-k inner-product search over vector-approximation files.
 
 Every vector component falls in one of 256 equal-width cells of its dimension, so a vector's
-approximation is one byte a dimension. Vectors are dealt into blocks, each an own
-approximation file. For a block of queries a scan of the cells gives every vector's lower and
-upper bound of the score by one matrix product; the kth largest lower bound already rules
-out most vectors, and exact vectors of the rest are read in order of their bound until the
-kth result is certain. Blocks' lists of k are merged per query.
+approximation is one byte a dimension. Beside it stands what the cell leaves open, each
+component's place within its cell, in as few bytes as the widest cell needs (none if cells
+are one wide): cell and place together are the exact vector. Vectors are dealt into blocks,
+each an own approximation file. For a block of queries a scan of the cells gives every
+vector's lower and upper bound of the score by one matrix product; the kth largest lower
+bound already rules out most vectors, and places of the rest are read in order of their bound
+until the kth result is certain. Blocks' lists of k are merged per query.
 
 The stated query set meets all rows in blocks: rows of (block, query block) meet in one group
 of at most ``BLOCK`` and ``QUERY_BLOCK`` rows on average, whatever the table's size.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import cut, read_table
 
 BLOCK = 4096
-QUERY_BLOCK = 2048
+#: Queries that meet a block at once: the whole file travels once for each such block of queries.
+QUERY_BLOCK = 16384
 #: Queries whose bounds over a block are held at once.
 _SUB = 256
 
@@ -54,35 +57,51 @@ def grid(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def place_kind(width: np.ndarray) -> str:
+    """The smallest unsigned type that holds a place within any cell; none for cells one wide."""
+    widest = int(width.max(initial=1))
+    return next(kind for kind, most in (("", 1), ("u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if widest <= most)
+
+
 def approximate(rows: DataFrame, bounds: dict[int, tuple[np.ndarray, np.ndarray]], blocks: int) -> DataFrame:
-    """(d, block, id, cells binary, v binary): the approximation beside the exact vector."""
+    """(d, block, id, cells binary, places binary): the approximation and what it leaves open."""
 
     def run(batches):
         for batch in batches:
-            cells, exact, sizes = [], [], []
+            cells, places, sizes = [], [], []
             for v in batch.column(1):
                 x = np.asarray(v.values, np.int64)
                 low, width = bounds.get(len(x), (np.zeros(0, np.int64),) * 2) if len(x) else (x, np.ones(0, np.int64))
-                cells.append(((x - low) // width).astype(np.uint8).tobytes())
-                exact.append(x.astype("<i8").tobytes())
+                cell, place = np.divmod(x - low, width)
+                kind = place_kind(width)
+                cells.append(cell.astype(np.uint8).tobytes())
+                places.append(place.astype(kind).tobytes() if kind else b"")
                 sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), batch.column(2), batch.column(0), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())], ["d", "block", "id", "cells", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), batch.column(2), batch.column(0), pa.array(cells, pa.binary()), pa.array(places, pa.binary())], ["d", "block", "id", "cells", "places"])
 
     dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.mapInArrow(run, "d int, block int, id long, cells binary, v binary")
+    return dealt.mapInArrow(run, "d int, block int, id long, cells binary, places binary")
 
 
 def matrix(column: pa.ChunkedArray, kind: str, d: int) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, kind).reshape(len(column), d) if d else np.zeros((len(column), 0), kind)
+    """Rows of ``d`` values each; of none where there is nothing to hold."""
+    raw = b"".join(column.to_pylist()) if kind and d else b""
+    return np.frombuffer(raw, kind).reshape(len(column), d) if kind and d else np.zeros((len(column), 0), np.uint8)
+
+
+def exact(cells: np.ndarray, places: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The vectors that cells and places stand for."""
+    whole = low + cells.astype(np.int64) * width
+    return whole + places.astype(np.int64) if places.shape[1] else whole
 
 
-def search_block(cells: np.ndarray, exact: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> tuple[list, list, list, int]:
-    """Query ids, ids and scores of each query's k best in one block, and exact rows read."""
+def search_block(cells: np.ndarray, places: np.ndarray, ids: np.ndarray, query_cells: np.ndarray, query_places: np.ndarray, query_ids: np.ndarray, low: np.ndarray, width: np.ndarray, k: int) -> tuple[list, list, list, int]:
+    """Query ids, ids and scores of each query's k best in one block, and exact vectors read."""
     order = np.argsort(ids, kind="stable")
-    cells, exact, ids = cells[order], exact[order], ids[order]
-    if exact.shape[1]:
-        _, lead, back = np.unique(np.ascontiguousarray(exact).view(f"V{8 * exact.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    cells, places, ids = cells[order], places[order], ids[order]
+    if cells.shape[1]:
+        raw = np.hstack([cells, np.ascontiguousarray(places).view(np.uint8).reshape(len(ids), -1)]) if places.shape[1] else np.ascontiguousarray(cells)
+        _, lead, back = np.unique(raw.view(f"V{raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
     else:
         lead, back = np.zeros(1, np.int64), np.zeros(len(ids), np.int64)
     by = np.argsort(back, kind="stable")
@@ -91,8 +110,9 @@ def search_block(cells: np.ndarray, exact: np.ndarray, ids: np.ndarray, queries:
     members = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
     floor_ = (low + cells[lead].astype(np.int64) * width).astype(np.float64)
     found_q, found_id, found_score, read = [], [], [], 0
-    for at in range(0, len(queries), _SUB):
-        q = queries[at : at + _SUB].astype(np.float64)
+    for at in range(0, len(query_ids), _SUB):
+        queries = exact(query_cells[at : at + _SUB], query_places[at : at + _SUB], low, width)
+        q = queries.astype(np.float64)
         base = q @ floor_.T
         room = (width - 1).astype(np.float64)
         blur = 1e-12 * (np.abs(q) @ np.abs(floor_).max(axis=0, initial=0.0))[:, None]
@@ -110,10 +130,10 @@ def search_block(cells: np.ndarray, exact: np.ndarray, ids: np.ndarray, queries:
             bound = upper[i, cand]
             cand, bound = cand[by_bound := np.argsort(-bound, kind="stable")], bound[by_bound]
             best: list[tuple[int, int]] = []
-            own, vector, pos = int(query_ids[at + i]), queries[at + i], 0
+            own, vector, pos = int(query_ids[at + i]), queries[i], 0
             while pos < len(cand) and (len(best) < k or bound[pos] >= -best[-1][0]):
                 some = cand[pos : pos + 2 * k]
-                scores = exact[lead[some]] @ vector
+                scores = exact(cells[lead[some]], places[lead[some]], low, width) @ vector
                 read += len(some)
                 best.extend((-s, m) for c, s in zip(some.tolist(), scores.tolist()) for m in members[c].tolist() if m != own)
                 best = sorted(best)[:k]
@@ -133,8 +153,8 @@ def top_k(rows: DataFrame, query_filter, k: int = 20) -> DataFrame:
     blocks = max(1, math.ceil(n / BLOCK))
     asked = file.filter(query_filter)
     parts = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    data = file.select("d", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "cells", "v")
-    queries = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", "block"), F.lit(parts)).cast("int").alias("part"), "id", "v")
+    data = file.select("d", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "cells", "places")
+    queries = asked.select("d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", "block"), F.lit(parts)).cast("int").alias("part"), "id", "cells", "places")
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -142,7 +162,9 @@ def top_k(rows: DataFrame, query_filter, k: int = 20) -> DataFrame:
             return pa.table({x: pa.array([], pa.int64()) for x in names})
         d = key[0].as_py()
         low, width = bounds.get(d, (np.zeros(d, np.int64), np.ones(d, np.int64)))
-        q, m, s, _ = search_block(matrix(left["cells"], "u1", d), matrix(left["v"], "<i8", d), left["id"].to_numpy(), matrix(right["v"], "<i8", d), right["id"].to_numpy(), low, width, k)
+        kind = place_kind(width)
+        both = [x for side in (left, right) for x in (matrix(side["cells"], "u1", d), matrix(side["places"], kind, d), side["id"].to_numpy())]
+        q, m, s, _ = search_block(*both, low, width, k)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(m, pa.int64()), "score": pa.array(s, pa.int64())})
 
     keys = ["d", "block", "part"]

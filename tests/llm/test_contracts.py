@@ -233,12 +233,16 @@ def test_top_k(spark, sf):
         vafile.BLOCK, vafile.QUERY_BLOCK = was
 
 
-def test_wide_cells_still_give_exact_results():
+@pytest.mark.parametrize("most", [100, 10**4, 10**6, 10**9])
+def test_wide_cells_still_give_exact_results(most):
     rng = np.random.default_rng(2)
-    x = rng.integers(-10**6, 10**6, (400, 5))
+    x = rng.integers(-most, most, (400, 5))
     low, width = x.min(axis=0), -(-(np.ptp(x, axis=0) + 1) // 256)
+    kind = vafile.place_kind(width)
     cells = ((x - low) // width).astype(np.uint8)
-    q, m, s, read = vafile.search_block(cells, x, np.arange(400), x[:10], np.arange(10), low, width, 7)
+    places = ((x - low) % width).astype(kind) if kind else np.zeros((400, 0), np.uint8)
+    assert (vafile.exact(cells, places, low, width) == x).all()
+    q, m, s, read = vafile.search_block(cells, places, np.arange(400), cells[:10], places[:10], np.arange(10), low, width, 7)
     for i in range(10):
         want = sorted((-int(x[i] @ x[j]), j) for j in range(400) if j != i)[:7]
         assert [(-b, a) for c, a, b in zip(q, m, s) if c == i] == want
