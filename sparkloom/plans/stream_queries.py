@@ -18,7 +18,11 @@ QUERIES, ORACLES = {}, {}
 
 def shared(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that ``spark.checkpoint.dir`` names, or a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return os.path.join(base, "sparkloom", f"{what}-{uuid.uuid4().hex}")
 
 
@@ -48,8 +52,7 @@ def stream_latest(spark, d):
 
 def stream_session_reads(spark, d):
     folder = shared(spark, "reads")
-    e = source(spark, d, "events").filter("event_type IN ('click', 'view')")
-    reads = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("query"), F.concat(F.lit("f"), F.col("event_id") % 7).alias("file"), (F.abs("value") * 200).cast("long").alias("chars"))
+    reads = source(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("query"), F.concat(F.lit("f"), F.col("event_id") % 7).alias("file"), (F.abs("value") * 200).cast("long").alias("chars"))
     finished(K.session_reads(reads), "append", lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/n={n}"), folder)
     return spark.read.schema(K.OUT).parquet(f"{folder}/out").select("session", "seq", "file", "mode", "served", "used")
 
@@ -57,3 +60,16 @@ def stream_session_reads(spark, d):
 QUERIES |= {"stream_rate_limit": stream_rate_limit, "stream_latest": stream_latest, "stream_session_reads": stream_session_reads}
 ORACLES["stream_rate_limit"] = USAGE_SQL["rate_limit_windows"]
 ORACLES["stream_latest"] = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1"
+#: The session's state walks along its reads: sizes served in the turn, and files known from earlier turns with
+#: those turns' one word each.
+ORACLES["stream_session_reads"] = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS query, 'f' || (event_id % 7) AS file, least(CAST(trunc(abs(value) * 200) AS BIGINT), 20000) AS wanted FROM events),
+w(session, n, seq, file, turn, mode, served, used, seen, known) AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', '', '', CAST(0 AS BIGINT), CAST(0 AS BIGINT), MAP([]::VARCHAR[], []::BIGINT[]), MAP([]::VARCHAR[], []::VARCHAR[]) FROM e
+  UNION ALL
+  SELECT session, n, seq, file, query, mode, served, used + served, CASE WHEN mode = 'full' THEN map_concat(seen, MAP([file], [greatest(coalesce(seen[file], 0), served)])) ELSE seen END, known FROM (
+    SELECT *, CASE mode WHEN 'full' THEN least(wanted, 60000 - used) WHEN 'dedupe_preview' THEN least(wanted, 500, 60000 - used) ELSE 0 END AS served FROM (
+      SELECT *, CASE WHEN coalesce(known[file] = query, false) THEN 'cross_turn_pointer' WHEN used >= 60000 THEN 'budget_exhausted' WHEN coalesce(seen[file], -1) >= wanted THEN 'dedupe_preview' ELSE 'full' END AS mode FROM (
+        SELECT e.session, e.n, e.seq, e.file, e.query, e.wanted, CASE WHEN e.query = w.turn THEN w.used ELSE 0 END AS used, CASE WHEN e.query = w.turn THEN w.seen ELSE MAP([]::VARCHAR[], []::BIGINT[]) END AS seen,
+          CASE WHEN e.query = w.turn THEN w.known ELSE map_concat(w.known, MAP(map_keys(w.seen), list_transform(map_keys(w.seen), lambda f: w.turn))) END AS known
+        FROM w JOIN e ON e.session = w.session AND e.n = w.n + 1))))
+SELECT session, seq, file, mode, served, used FROM w WHERE n > 0"""

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as T
 from ..operators import usage as U
 
 #: Characters a turn may read, and a single read.
-TURN_BUDGET, READ_LIMIT, PREVIEW = 60_000, 20_000, 400
+TURN_BUDGET, READ_LIMIT, PREVIEW = 60_000, 20_000, 500
 #: Quiet time after which a session's state goes.
 QUIET_MS = 900_000
 
@@ -28,41 +29,71 @@ def once(events: DataFrame, key: str, ts: str = "ts", lateness: str = "1 hour")
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_sink(folder: str, keys: list[str], order: str):
+def _folder(spark, folder: str):
+    """The file system of a folder, and what makes paths of names in it."""
+    jvm = spark.sparkContext._jvm
+    path = lambda *names: jvm.org.apache.hadoop.fs.Path("/".join([folder, *names]))
+    return path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark, folder: str) -> dict[int, list[int]]:
+    """Finished versions of each bucket, oldest first."""
+    fs, path = _folder(spark, folder)
+    found: dict[int, list[int]] = {}
+    if not fs.exists(path()):
+        return found
+    finished = (s.getPath().getName() for s in fs.listStatus(path()) if fs.exists(path(s.getPath().getName(), "_SUCCESS")))
+    for version in sorted(int(name[1:]) for name in finished if name.startswith("v")):
+        for s in fs.listStatus(path(f"v{version}")):
+            if s.getPath().getName().startswith("_bucket="):
+                found.setdefault(int(s.getPath().getName().partition("=")[2]), []).append(version)
+    return found
+
+
+def upsert_sink(folder: str, keys: list[str], order: str, buckets: int = 64):
     """A ``foreachBatch`` function that keeps the newest row a key in ``folder``.
 
-    Every batch is written beside what was there as a new version, and the version file is
-    replaced last, so a batch that is run again writes the same version.
+    Rows lie in buckets by a hash of their key, and a batch writes a new version of the buckets it
+    touches only. It reads versions older than itself, so a batch that is run again writes the same;
+    a version counts once it is whole, and of each bucket the two newest versions stay.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
-        versions = sorted(int(s.getPath().getName()[1:]) for s in (fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if fs.exists(jvm.org.apache.hadoop.fs.Path(folder)) else []) if s.getPath().getName().startswith("v"))
-        before = [v for v in versions if v < number]
-        rows = batch if not before else spark.read.schema(batch.schema).parquet(f"{folder}/v{before[-1]}").unionByName(batch)
-        U.latest(rows, keys, F.desc(order)).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        fresh = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = {r[0] for r in fresh.select("_bucket").distinct().collect()}  # ``buckets`` at most
+        if not touched:
+            return
+        found = {b: [v for v in versions if v < number] for b, versions in _versions(spark, folder).items()}
+        before = [f"{folder}/v{found[b][-1]}/_bucket={b}" for b in sorted(touched) if found.get(b)]
+        rows = fresh
+        if before:
+            old = spark.read.schema(batch.schema).parquet(*before)
+            rows = old.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).unionByName(fresh)
+        U.latest(rows, keys, F.desc(order)).repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{folder}/v{number}")
+        fs, path = _folder(spark, folder)
+        for b in touched:
+            for v in found.get(b, [])[:-1]:
+                fs.delete(path(f"v{v}", f"_bucket={b}"), True)
 
     return write
 
 
 def read_upserted(spark, folder: str) -> DataFrame:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    versions = [int(s.getPath().getName()[1:]) for s in path.getFileSystem(conf).listStatus(path) if s.getPath().getName().startswith("v")]
-    return spark.read.parquet(f"{folder}/v{max(versions)}")
+    """The newest version of every bucket."""
+    return spark.read.parquet(*[f"{folder}/v{versions[-1]}/_bucket={b}" for b, versions in sorted(_versions(spark, folder).items())])
 
 
 OUT = "session string, seq long, file string, mode string, served long, used long"
-STATE = "turn string, used long, files array<string>, sizes array<long>"
+STATE = "turn string, terms string, used long, files array<string>, sizes array<long>, known array<string>, words array<string>"
 
 
 def read_modes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What each read of a session gets, in order: in full, a preview of what the turn has already
-    served, or nothing once the turn's budget is used up. A new query begins a new turn."""
-    turn, used, files, sizes = state.get if state.exists else ("", 0, [], [])
-    seen = dict(zip(files, sizes))
+    """What each read of a session gets, in order: a pointer to an earlier turn that read the file for a query
+    with a word in common, a preview of what the turn has already served (more than that is read
+    again), nothing once the turn's budget is used up, or the text. A new query begins a new turn."""
+    turn, terms, used, files, sizes, known, words = state.get if state.exists else ("", "", 0, [], [], [], [])
+    seen, before = dict(zip(files, sizes)), dict(zip(known, words))
     if state.hasTimedOut:
         state.remove()
         return
@@ -70,18 +101,21 @@ def read_modes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     out = []
     for r in rows.itertuples():
         if r.query != turn:
-            turn, used, seen = r.query, 0, {}
+            before.update(dict.fromkeys(seen, terms))
+            turn, terms, used, seen = r.query, r.terms, 0, {}
         wanted = min(int(r.chars), READ_LIMIT)
-        if seen.get(r.file, -1) >= wanted:
-            mode, served = "dedupe_preview", min(wanted, PREVIEW)
+        if set(before.get(r.file, "").split()) & set(terms.split()):
+            mode, served = "cross_turn_pointer", 0
         elif used >= TURN_BUDGET:
             mode, served = "budget_exhausted", 0
+        elif seen.get(r.file, -1) >= wanted:
+            mode, served = "dedupe_preview", min(wanted, PREVIEW, TURN_BUDGET - used)
         else:
             mode, served = "full", min(wanted, TURN_BUDGET - used)
             seen[r.file] = max(seen.get(r.file, 0), served)
         used += served
         out.append((key[0], r.seq, r.file, mode, served, used))
-    state.update((turn, used, list(seen), list(seen.values())))
+    state.update((turn, terms, used, list(seen), list(seen.values()), list(before), list(before.values())))
     state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + QUIET_MS)
     yield pd.DataFrame(out, columns=["session", "seq", "file", "mode", "served", "used"])
 
@@ -89,7 +123,8 @@ def read_modes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
 def session_reads(requests: DataFrame) -> DataFrame:
     """Streaming reads (session, seq, ts, query, file, chars) with their outcome; a session that is
     quiet for 15 minutes of event time is forgotten."""
-    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    query = F.coalesce("query", F.lit(""))
+    timed = requests.withColumns({"ts": F.col("ts").cast("timestamp"), "query": query, "terms": T.query_key(query)}).withWatermark("ts", "10 minutes")
     return timed.groupBy("session").applyInPandasWithState(read_modes, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
