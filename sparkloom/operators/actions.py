@@ -225,3 +225,12 @@ def decorated(lines: DataFrame, declarations: DataFrame, decorator: str, within:
 def payload(row: str | Column, fields: dict[str, str]) -> Column:
     """Only the named fields of a JSON text, as a struct; what else it holds is not kept."""
     return F.from_json(T.col(row), ", ".join(f"{name} {kind}" for name, kind in fields.items()))
+
+
+def registered(known: DataFrame, found: DataFrame, now_epoch: int) -> DataFrame:
+    """References (ref, created_epoch, ...) to files outside of the corpus that are still valid: the newest of
+    each, known or found again; among equally new ones one that was found."""
+    both = known.withColumn("_new", F.lit(0)).unionByName(found.withColumn("_new", F.lit(1)))
+    rest = [c for c in both.columns if c not in ("ref", "_new")]
+    newest = both.groupBy("ref").agg(F.max_by(F.struct(*rest), F.struct("created_epoch", "_new", *[c for c in rest if c != "created_epoch"])).alias("x")).select("ref", "x.*")
+    return alive(newest, now_epoch, "external")

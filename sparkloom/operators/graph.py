@@ -237,3 +237,35 @@ def frames_to_files(frames: DataFrame, files: DataFrame) -> DataFrame:
     ending = frames.join(tails, "path").groupBy("seq", "path", "line").agg(F.min_by("file", F.struct(F.length("file"), F.col("file"))).alias("file"))
     none = exact.agg((F.count("*") == 0).alias("_none"))
     return exact.select("seq", "path", "line", "file").unionByName(ending.join(F.broadcast(none)).filter("_none").select("seq", "path", "line", "file"))
+
+
+def file_adjacency(edges: DataFrame, nodes: DataFrame, rels: list[str]) -> DataFrame:
+    """(file, way, other): edges of some kinds between known nodes (id, path), as links of their files both ways
+    (to, from), each once. Edges whose ends lie in one file link nothing."""
+    of = nodes.select("id", "path").distinct()
+    known = edges.filter(F.col("rel").isin(rels)).select("src", "dst").distinct()
+    ends = known.join(of.select(F.col("id").alias("src"), F.col("path").alias("file")), "src").join(of.select(F.col("id").alias("dst"), F.col("path").alias("other")), "dst")
+    links = ends.filter("file <> other").select("file", "other").distinct()
+    return links.select("file", F.lit("to").alias("way"), "other").unionAll(links.select(F.col("other").alias("file"), F.lit("from"), F.col("file").alias("other")))
+
+
+def frame_symbols(frames: DataFrame, symbols: DataFrame, first: int = 3) -> DataFrame:
+    """(trace_id, symbol, line): symbols (id, line_start) that the first frames of each trace name by file and
+    function; nameless functions name none. Without a line of its own a symbol has the frame's."""
+    w = Window.partitionBy("trace_id").orderBy("seq")
+    named = frames.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= first) & (F.col("function") != "") & ~F.col("function").isin("<module>", "<anonymous>", "main"))
+    return named.withColumn("id", F.concat_ws("::", "path", "function")).join(symbols.select("id", "line_start"), "id").select("trace_id", F.col("id").alias("symbol"), F.coalesce("line_start", "line").alias("line"))
+
+
+def changed_context(edges: DataFrame, changed: DataFrame, affected: int = 8, reads: int = 5) -> DataFrame:
+    """(review, part, rank, file): what a review of changed files (review, file) is shown: the files most linked
+    to them, and of these and of the changed ones (which come after them) the first to read."""
+    c = changed.select("review", "file").distinct()
+    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.join(c, both.src == c.file).groupBy("review", F.col("dst").alias("other")).agg(F.count("*").alias("links"))
+    near = near.join(c.select("review", F.col("file").alias("other")), ["review", "other"], "left_anti")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("review").orderBy(F.desc("links"), "other"))).filter(F.col("rank") <= affected)
+    shown = ranked.select("review", F.lit("affected").alias("part"), "rank", F.col("other").alias("file"))
+    queue = shown.select("review", F.lit(0).alias("_own"), "rank", "file").unionAll(c.select("review", F.lit(1), F.lit(0), "file"))
+    first = queue.withColumn("_n", F.row_number().over(Window.partitionBy("review").orderBy("_own", "rank", "file"))).filter(F.col("_n") <= reads)
+    return shown.unionAll(first.select("review", F.lit("read"), F.col("_n"), "file"))

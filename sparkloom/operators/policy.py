@@ -9,20 +9,34 @@ from ..functions import text as T
 from . import search as S
 
 
-def read_mode(wanted: Column, used: Column, seen_chars: Column, allowed: Column, cross_turn: Column, has_symbol: Column, has_anchor: Column, has_query: Column, budget: int = 60_000) -> Column:
-    """The outcome of a read request, first rule first."""
+def read_mode(wanted: Column, used: Column, seen_chars: Column, allowed: Column, cross_turn: Column, has_symbol: Column, has_anchor: Column, has_query: Column, budget: int = 60_000, gated: Column | None = None, anchor_found: Column | None = None, size: Column | None = None) -> Column:
+    """The outcome of a read request, first rule first. ``gated``: another file is to be read again first;
+    ``anchor_found``: whether the text holds the anchor; ``size``: characters of the text, which is given in
+    full if that is no more than is wanted, and by its beginning if nothing else is asked for."""
+    yes, no = F.lit(True), F.lit(False)
+    fits = no if size is None else size <= wanted
     return (
         F.when(~allowed, "allowlist_blocked")
+        .when(no if gated is None else gated, "reuse_gate_blocked")
         .when(cross_turn, "cross_turn_pointer")
-        .when(seen_chars >= wanted, "dedupe_preview")
         .when(used >= budget, "budget_exhausted")
+        .when(seen_chars >= wanted, "dedupe_preview")
         .when(has_symbol, "symbol_excerpt")
-        .when(has_anchor, "anchor_excerpt")
+        .when(has_anchor & (yes if anchor_found is None else anchor_found), "anchor_excerpt")
+        .when(has_anchor, "anchor_fallback_head")
+        .when(fits, "full")
         .when(has_query, "query_excerpt")
-        .otherwise("full")
+        .otherwise("full" if size is None else "head")
     )
 
 
+def spent(read: Column, turns: Column, task: Column) -> Column:
+    """struct(cost, turns): none, warning or limit, by what a task of this type may read and take."""
+    most = T.limits(F.when(task.isin(*T.TASK_LIMITS), task).otherwise("unknown"))
+    level = lambda x, what: F.when(x >= most.getField(f"hard_{what}"), "limit").when(x >= most.getField(f"warn_{what}"), "warning").otherwise("none")
+    return F.struct(level(read, "tokens").alias("cost"), level(turns, "turns").alias("turns"))
+
+
 def read_file(docs: DataFrame, file_id, max_chars: int = 20_000, query_terms: list[str] | None = None, anchor: str = "", span: tuple[int, int] | None = None) -> DataFrame:
     """(file_id, mode, text) of one file (file_id, lines): a symbol's lines, the text about an
     anchor, blocks about the query's words, or the beginning."""

@@ -113,6 +113,13 @@ def in_window(ts: str | Column, start: str, end: str) -> Column:
     return (c >= F.lit(start).cast("timestamp_ntz")) & (c < F.lit(end).cast("timestamp_ntz"))
 
 
+def month_to_date(ts: str | Column, now: str) -> Column:
+    """From the first of the month of ``now`` up to ``now``; the bounds are folded, so the filter reaches the scan."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    end = F.lit(now).cast("timestamp_ntz")
+    return (c >= F.date_trunc("month", end).cast("timestamp_ntz")) & (c <= end)
+
+
 def summary(costed: DataFrame) -> DataFrame:
     """One row of totals."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))

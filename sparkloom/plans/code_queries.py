@@ -72,10 +72,10 @@ def stack_frames(spark, d):
     return X.frames(B.table(spark, d, "part").select(F.col("p_partkey").alias("trace_id"), text.alias("text"))).select("trace_id", "language", "path", "line", "function")
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'allowlist_blocked' WHEN event_type = 'error' THEN 'cross_turn_pointer' WHEN value > 60 THEN 'dedupe_preview' WHEN event_id % 5 = 0 THEN 'budget_exhausted' WHEN event_type = 'view' THEN 'symbol_excerpt' WHEN event_type = 'click' THEN 'anchor_excerpt' WHEN event_type = 'signup' THEN 'query_excerpt' ELSE 'full' END AS mode FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'allowlist_blocked' WHEN event_id % 11 = 0 THEN 'reuse_gate_blocked' WHEN event_type = 'error' THEN 'cross_turn_pointer' WHEN event_id % 5 = 0 THEN 'budget_exhausted' WHEN value > 60 THEN 'dedupe_preview' WHEN event_type = 'view' THEN 'symbol_excerpt' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'anchor_fallback_head' WHEN event_type = 'click' THEN 'anchor_excerpt' WHEN value * 4 <= 60 THEN 'full' WHEN event_type = 'signup' THEN 'query_excerpt' ELSE 'head' END AS mode FROM events""")
 def read_modes(spark, d):
     t = F.col("event_type")
-    mode = P.read_mode(F.lit(60.0), F.when(F.col("event_id") % 5 == 0, 60_000).otherwise(0), F.when(F.col("value") > 60, F.col("value")).otherwise(-1.0), F.col("event_id") % 13 != 0, t == "error", t == "view", t == "click", t == "signup")
+    mode = P.read_mode(F.lit(60.0), F.when(F.col("event_id") % 5 == 0, 60_000).otherwise(0), F.when(F.col("value") > 60, F.col("value")).otherwise(-1.0), F.col("event_id") % 13 != 0, t == "error", t == "view", t == "click", t == "signup", gated=F.col("event_id") % 11 == 0, anchor_found=F.col("event_id") % 3 != 0, size=F.col("value") * 4)
     return B.table(spark, d, "events").select("event_id", mode.alias("mode"))
 
 
