@@ -126,6 +126,27 @@ class Corpus:
         resolved = G.resolve_imports(self.edges.filter("rel = 'imports'").select("src", F.col("dst").alias("target")), self.files.select("path")).filter("resolved IS NOT NULL").select("src", F.col("resolved").alias("dst"))
         return G.blast(G.bfs(resolved, seeds, radius), seeds, radius).orderBy(F.desc("score"), "node").limit(2 * radius)
 
+    def root_causes(self, error: str) -> DataFrame:
+        """Symbols that the first frames of a stack trace name."""
+        return G.frame_symbols(X.frames(self.spark.createDataFrame([(0, error)], "trace_id int, text string")), self.symbols)
+
+    def adjacency(self, rels: tuple[str, ...] = ("imports", "requires")) -> DataFrame:
+        """(file, way, other): imports that files of the corpus answer, both ways."""
+        found = self._resolved(self.edges.filter(F.col("rel").isin(*rels)).select("src", F.col("dst").alias("target")))
+        nodes = self.files.select(F.col("path").alias("id"), "path")
+        return G.file_adjacency(found.select("src", F.col("resolved").alias("dst"), F.lit("imports").alias("rel")), nodes, ["imports"])
+
+    def changed_context(self, changed: list[str], affected: int = 8, reads: int = 5) -> DataFrame:
+        """(part, rank, file): files that changed ones touch, and the first to read."""
+        links = self.adjacency().filter("way = 'to'").select(F.col("file").alias("src"), F.col("other").alias("dst"))
+        mine = self.spark.createDataFrame([(0, x) for x in changed], "review int, file string")
+        return G.changed_context(links, mine, affected, reads).drop("review")
+
+    def register(self, known: DataFrame, hits: DataFrame, now_epoch: int) -> DataFrame:
+        """References (ref, created_epoch) to another tree's files, with those of a search's hits, while they are valid."""
+        found = hits.select(F.col("file_id").alias("ref"), F.lit(now_epoch).cast("long").alias("created_epoch")).distinct()
+        return W.registered(known.select("ref", "created_epoch"), found, now_epoch)
+
     def external_usage(self, package: str = "") -> DataFrame:
         """(dst, files): imports that no file of the corpus answers."""
         r = G.resolve_imports(self.edges.filter("rel = 'imports'").select("src", F.col("dst").alias("target")), self.files.select("path"))
@@ -137,6 +158,10 @@ class Corpus:
         lines = self.lines()
         return {"coverage": A.coverage(code), "untested": A.untested(code), "copy_paste": A.copy_paste(self.symbols), "todos": A.marked_lines(lines), "database_in_routes": A.database_in_routes(code, lines), "dead_exports": self.dead_exports(), "cycles": self.find_cycles()}
 
+    def write_audit(self, folder: str) -> None:
+        """The audit as JSON lines and a Markdown report."""
+        C.write_report(self.audit(), folder)
+
     def memories(self, entries: DataFrame, query: str, now_epoch: int, limit: int = 8) -> DataFrame:
         return M.best(M.score(entries, P.plan(query, 5, self.spark)["terms"], [], now_epoch), limit)
 

@@ -106,6 +106,31 @@ def export_csv(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(folder)
 
 
+def write_rows(rows: DataFrame, folder: str) -> None:
+    """A table as JSON lines, nulls kept, in place of what was there; ``read_rows`` gives the same rows."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
+
+
+def read_rows(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Rows of ``write_rows``; lines that are no JSON are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder)
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, shown: int = 20) -> None:
+    """Every table as JSON lines in a folder of its name, and ``report``: a Markdown text with each table's
+    number of rows and its first ones by all columns. The driver sees ``shown`` rows a table."""
+    spark = next(iter(tables.values())).sparkSession
+    parts = []
+    for name, rows in tables.items():
+        write_rows(rows, f"{folder}/{name}")
+        kept = read_rows(spark, f"{folder}/{name}", rows.schema)
+        text = kept.select([F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")).alias(c) for c in rows.columns])
+        first = text.orderBy(*rows.columns).limit(shown).collect()
+        body = ["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns), *("| " + " | ".join(" ".join(x.split()) for x in r) + " |" for r in first)]
+        parts.append("\n".join([f"## {name}", "", f"{kept.count()} rows", "", *(body if first else [])]))
+    spark.createDataFrame([("\n\n".join(parts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/report")
+
+
 def live_or_stored(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Stored files with the content on disk, or the stored one where the file is gone."""
     l = live.select("path", F.col("content").alias("_live"))

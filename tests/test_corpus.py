@@ -1,10 +1,13 @@
 """A small source tree in six languages, with results worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.engine import Corpus
 from sparkloom.operators import detect as D
 from sparkloom.operators import extract as X
+from sparkloom.operators import policy as P
+from sparkloom.operators import usage as U
 from sparkloom.sources import corpus as C
 
 TREE = {
@@ -91,6 +94,38 @@ def test_retrieval_and_debug(corpus):
     assert {r.node for r in corpus.debug(trace).collect()} >= {"src/c.py", "src/d.py"}
 
 
+def test_frames_name_symbols_and_files_link_both_ways(corpus):
+    trace = 'Traceback\n  File "src/c.py", line 6, in first\n  File "src/d.py", line 3, in load\n  File "src/gone.py", line 1, in load\n'
+    assert {(r.symbol, r.line) for r in corpus.root_causes(trace).collect()} == {("src/c.py::first", 5), ("src/d.py::load", 1)}
+    links = {tuple(r) for r in corpus.adjacency().collect()}
+    assert {("src/a.ts", "to", "src/b.ts"), ("src/a.ts", "from", "src/b.ts"), ("src/c.py", "to", "src/d.py"), ("src/d.py", "from", "src/c.py")} <= links
+    shown = {(r.part, r["rank"], r.file) for r in corpus.changed_context(["src/a.ts"]).collect()}
+    assert shown == {("affected", 1, "src/b.ts"), ("read", 1, "src/b.ts"), ("read", 2, "src/a.ts")}
+
+
+def test_references_are_registered_while_valid(spark, corpus, tree):
+    known = spark.createDataFrame([("x/old.py", 10), ("x/kept.py", 90_000), ("src/d.py", 90_000)], "ref string, created_epoch long")
+    got = {r.ref: r.created_epoch for r in corpus.register(known, corpus.cross_search(tree, "def load"), 100_000).collect()}
+    assert got == {"x/kept.py": 90_000, "src/d.py": 100_000}
+
+
+def test_report_and_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "a|b\nc", None), (1, None, 0.5)], "id int, text string, x double")
+    C.write_report({"found": rows, "nothing": rows.limit(0)}, str(tmp_path / "r"))
+    back = C.read_rows(spark, str(tmp_path / "r" / "found"), rows.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    report = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r" / "report")).collect())
+    assert "## found\n\n2 rows\n\n| id | text | x |\n|-|-|-|\n| 1 |  | 0.5 |\n| 2 | a\\|b c |  |" in report and "## nothing\n\n0 rows" in report
+
+
+def test_budgets_and_months(spark):
+    rows = spark.createDataFrame([("targeted", 120_000, 14), ("exhaustive", 120_000, 14), ("new", 200_000, 8), (None, 0, 0)], "task string, chars long, turns int")
+    got = [tuple(r.x) for r in rows.select(P.spent(F.col("chars"), F.col("turns"), F.col("task")).alias("x")).collect()]
+    assert got == [("warning", "limit"), ("none", "none"), ("limit", "warning"), ("none", "none")]
+    days = spark.createDataFrame([("2024-02-01 00:00:00",), ("2024-01-31 23:59:59",), ("2024-02-10 12:00:00",), ("2024-02-10 12:00:01",), (None,)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    assert [str(r.t) for r in days.filter(U.month_to_date("t", "2024-02-10 12:00:00")).collect()] == ["2024-02-01 00:00:00", "2024-02-10 12:00:00"]
+
+
 def test_store_round_trip(spark, corpus, tmp_path):
     corpus.save(str(tmp_path / "graph"))
     again = Corpus.open(spark, str(tmp_path / "graph"))
